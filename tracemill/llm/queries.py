@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import line_dedup, mixing, quality_rules, sharding
 from .common import documents
 
 
@@ -17,10 +17,15 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
+        "op2_mixing": _documents(mixing.op2_mixing),
+        "op6_sharding": _documents(sharding.op6_sharding),
+        "op7_line_dedup": _documents(line_dedup.op7_line_dedup),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op2_mixing": mixing.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
     }
