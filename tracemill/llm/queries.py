@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, sharding
+from . import line_dedup, minhash, mixing, quality_rules, sharding
 from .common import documents
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
         "op2_mixing": _documents(mixing.op2_mixing),
+        "op3_minhash": _documents(minhash.op3_minhash),
         "op6_sharding": _documents(sharding.op6_sharding),
         "op7_line_dedup": _documents(line_dedup.op7_line_dedup),
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op2_mixing": mixing.ORACLE,
+        "op3_minhash": minhash.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
     }
