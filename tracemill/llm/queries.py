@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, mixing, quality_rules, sharding
+from . import line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": _documents(minhash.op3_minhash),
         "op6_sharding": _documents(sharding.op6_sharding),
         "op7_line_dedup": _documents(line_dedup.op7_line_dedup),
+        "op10_substring_dedup": _documents(substring_dedup.op10_substring_dedup),
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE,
         "op3_minhash": minhash.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }
