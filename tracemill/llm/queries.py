@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup
+from . import bpe, fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
@@ -19,8 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
         "op2_mixing": _documents(mixing.op2_mixing),
         "op3_minhash": _documents(minhash.op3_minhash),
+        "op5_bpe": _documents(bpe.op5_bpe),
         "op6_sharding": _documents(sharding.op6_sharding),
         "op7_line_dedup": _documents(line_dedup.op7_line_dedup),
+        "op8_language_id": _documents(language_id.op8_language_id),
+        "op9_fingerprints": _documents(fingerprints.op9_fingerprints),
         "op10_substring_dedup": _documents(substring_dedup.op10_substring_dedup),
     }
 
