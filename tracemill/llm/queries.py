@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup
+from . import bpe, fingerprints, html_extract, language_id, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup
 from .common import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
         "op2_mixing": _documents(mixing.op2_mixing),
         "op3_minhash": _documents(minhash.op3_minhash),
+        "op4_html_extraction": lambda spark, sf_dir: html_extract.op4_html_extraction(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_bpe": _documents(bpe.op5_bpe),
         "op6_sharding": _documents(sharding.op6_sharding),
         "op7_line_dedup": _documents(line_dedup.op7_line_dedup),
