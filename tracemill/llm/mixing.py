@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_start, stage_table, text_or_empty, words_of
+from .common import SPACE_RUN, running_start, stage_table, text_or_empty, words_of
 
 #: A block has about this many words; a schedule has 2^MIN_SLOT_BITS slots at least, for small corpora.
 BLOCK_WORDS = 1024
@@ -136,6 +136,35 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     return rows.join(per_row, match, "left").withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long")).drop("__s", "__p", "__taken")
 
 
+def _numbered(df: DataFrame, *more) -> DataFrame:
+    """Number the rows that share (doc_id, size, source): almost always one."""
+    key = ["doc_id", "size", "source"]
+    return df.withColumn("__no", F.row_number().over(Window.partitionBy(*key).orderBy(*more)))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them, with docs' columns: one row for each round, its text whole, or cut after the words taken.
+
+    Rows that share doc_id, size and source are told apart by a hash of their text.
+    """
+    took = taken(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").select("doc_id", "source", "size", "taken", "start")
+    took = _numbered(took, "start").select(*[F.col(c).alias(f"__t_{c}") for c in ("doc_id", "source", "size", "__no")], F.col("taken").alias("__taken"))
+    packed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(text_or_empty(F.col("text")))).cast("long").alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("__in"))
+    rows = _numbered(packed, F.xxhash64("__in.text"))
+    match = rows["size"] == took["__t_size"]
+    for c in ("doc_id", "source"):
+        match = match & rows[c].eqNullSafe(took[f"__t_{c}"])
+    rows = rows.join(took, match & (rows["__no"] == took["__t___no"]))
+    rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("size")).cast("int") - 1)))
+    left = F.least(F.col("size"), F.col("__taken") - F.col("__round") * F.col("size"))
+    text = F.col("__in.text")
+    # cut before the white space that follows the last word taken
+    chunks = F.split(F.regexp_replace(text, rf"^{SPACE_RUN}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.regexp_replace(F.array_join(F.slice(chunks, F.lit(1), left.cast("int")), ""), rf"{SPACE_RUN}$", "")
+    whole = F.when(left < F.col("size"), cut).otherwise(text)
+    return rows.select(*[whole.alias(c) if c == "text" else F.col(f"__in.{c}").alias(c) for c in docs.columns])
+
+
 def op2_mixing(docs: DataFrame) -> DataFrame:
     return taken(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
