@@ -110,7 +110,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = MA
     order = [F.col("h"), F.col("doc_id"), F.col("size")]
     rows = running_start(sizes, ["source"], order, "size", "start", bucket.cast("long")).join(F.broadcast(goals), sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     rows = stage_table(rows.drop("h"), "mix-rows")
-    slots = schedule(goals, bits)
+    # written, as its size can't be told from the sources' it is made from, and would be taken for small
+    slots = stage_table(schedule(goals, bits), "mix-slots")
     per_source = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
     # each source's target in whole words, and its equal-token block
     per_source = per_source.join(goals, per_source["source"].eqNullSafe(goals["source"])).select(

@@ -104,7 +104,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Rows of docs that pass, with docs' columns only (a clashing input column keeps its values)."""
     packed = docs.select(F.col(text).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("__in"))
-    return judge(packed, rules).filter("kept").select("__in.*")
+    # a term that Catalyst takes for random keeps it from pushing the filter below the projections, which would
+    # repeat each step's expression in the next one's
+    return judge(packed, rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0)).filter("kept").select("__in.*")
 
 
 def op1_quality_rules(docs: DataFrame) -> DataFrame:
