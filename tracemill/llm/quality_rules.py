@@ -4,18 +4,19 @@ Only built-in functions; no row leaves the JVM and nothing is shuffled.
 
 Defined cases: a null or empty text has no words and fails the base rule; a text without lines has line ratio 0;
 ratios with nothing below the line are 0 and the row has failed the base rule already. Rows that repeat are judged
-alike. `profile` keeps every input column: its own are added under the names of MEASURES, all working columns start
-with `__tm_`; an input column with the name of a measure is replaced.
+alike. `judge` keeps every input column: its own are added under the names of MEASURES, its working column starts with
+`__tm_`; an input column with the name of a measure is replaced. `keep` adds none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, words_of
+from .common import SPACES, text_or_empty, words_of
 
 STOP_WORDS = (
     "the of and to a in that is was for with on be this are as it from or an by at not have "
@@ -41,72 +42,80 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "word_chars", high=0.06),
-    Rule("exclamations", "__tm_bangs", "n_words", high=0.5),
-    Rule("stop_words", "__tm_stops", "n_words", low=0.04),
-    Rule("repeated_lines", "n_dup_lines", "__tm_lines", high=0.5),
+    Rule("exclamations", "bangs", "n_words", high=0.5),
+    Rule("stop_words", "stops", "n_words", low=0.04),
+    Rule("repeated_lines", "n_dup_lines", "lines", high=0.5),
 )
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def repeated_words(w: Column, n: Column, grams: Column) -> list[tuple[str, Column]]:
-    """Steps (name, expression): words covered by 3-word windows that occur twice or more.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it and wherever Catalyst moves the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(w: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more.
 
     The windows are sorted with their places; those equal to a neighbour are repeated; their places, sorted, each
     cover up to the next place or three words: n log n for any text.
     """
-    s, p = F.col("__tm_sorted"), F.col("__tm_places")
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+    none = F.array().cast("array<struct<g:string,i:int>>")
     equal = lambda x, y: y["g"].eqNullSafe(x["g"])
-    return [
-        ("__tm_sorted", F.sort_array(F.when(n >= 3, grams).otherwise(F.array().cast("array<struct<g:string,i:int>>")))),
-        ("__tm_places", F.sort_array(F.transform(F.filter(s, lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1))), lambda x: x["i"]))),
-        ("n_repeat_words", F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)),
-    ]
-
-
-def profile(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add MEASURES (long) and the working counts of RULES."""
-    w, n = F.col("__tm_words"), F.size("__tm_words")
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
-    t = text_or_empty(F.col(text))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
-    df = docs.withColumns({"__tm_words": words_of(t), "__tm_line_list": lines})
-    df = df.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("__tm_line_list") - F.size(F.array_distinct("__tm_line_list"))).cast("long"),
-        "__tm_lines": F.size("__tm_line_list").cast("long"),
-        "__tm_bangs": F.regexp_count(t, F.lit("!")).cast("long"),
-        "__tm_stops": F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(".,;:!?"))).isin(*sorted(set(STOP_WORDS))))).cast("long"),
-    })
-    for name, step in repeated_words(w, n, grams):
-        df = df.withColumn(name, step)
-    return df
-
-
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The table as one boolean expression, for profile()'s columns."""
+    places = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1))), lambda x: x["i"]))
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _let(F.sort_array(F.when(F.size(w) >= 3, grams).otherwise(none)), lambda s: _let(places(s), covered))
+
+
+def measures(text: Column) -> Column:
+    """A struct of MEASURES (long) and the working counts of RULES, of one text."""
+
+    def of(t: Column, w: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("lines"),
+            F.regexp_count(t, F.lit("!")).cast("long").alias("bangs"),
+            F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(".,;:!?"))).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("stops"),
+        )
+
+    lines_of = lambda t: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return _let(text_or_empty(text), lambda t: _let(words_of(t), lambda w: _let(lines_of(t), lambda ls: of(t, w, ls))))
+
+
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The table as one boolean expression over a struct of measures()."""
     out = F.lit(True)
     for r in rules:
-        ratio = F.coalesce(F.try_divide(F.col(r.numerator).cast("double"), F.col(r.denominator)), F.lit(0.0))
+        ratio = F.coalesce(F.try_divide(m[r.numerator].cast("double"), m[r.denominator]), F.lit(0.0))
         out = out & (ratio >= F.lit(r.low)) & (ratio <= F.lit(r.high))
     return out
 
 
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of MEASURES, base_failed and kept."""
+
+    def of(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in MEASURES], failed.alias("base_failed"), (~failed & verdict(m, rules)).alias("kept"))
+
+    return _let(measures(text), of)
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """profile() with `base_failed` and `kept`."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = profile(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
-    return df.drop(*[c for c in df.columns if c.startswith("__tm_")])
+    """docs with MEASURES, `base_failed` and `kept`; an input column of one of these names is replaced."""
+    df = docs.withColumn("__tm_q", judgement(F.col(text), rules))
+    return df.withColumns({c: F.col("__tm_q")[c] for c in [*MEASURES, "base_failed", "kept"]}).drop("__tm_q")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Rows of docs that pass, with docs' columns only (a clashing input column keeps its values)."""
-    packed = docs.select(F.col(text).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("__in"))
-    # a term that Catalyst takes for random keeps it from pushing the filter below the projections, which would
-    # repeat each step's expression in the next one's
-    return judge(packed, rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0)).filter("kept").select("__in.*")
+    return docs.filter(judgement(F.col(text), rules)["kept"])
 
 
 def op1_quality_rules(docs: DataFrame) -> DataFrame:
