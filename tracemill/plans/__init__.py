@@ -1 +1,6 @@
-"""tracemill.plans"""
+"""Registered queries, each with DuckDB SQL where SQL can say it."""
+
+from . import judging, suites, traces
+
+QUERIES = {**judging.QUERIES, **traces.QUERIES, **suites.QUERIES}
+ORACLE = {**judging.ORACLE, **traces.ORACLE, **suites.ORACLE}
