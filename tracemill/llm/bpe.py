@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Pre-tokens are the matches of the tokenizer's pattern. Distinct pre-tokens are counted over the whole corpus by a
-shuffle, and each one that is frequent is encoded once; its ids are joined back. Decoding joins the token-byte table.
+1. Pre-tokens (the matches of the tokenizer's pattern) are taken with their places, a slice of text at a time: a slice
+   holds its distinct pre-tokens once, and each of its documents the codes of its pre-tokens in order, the more
+   frequent the smaller. The slices are written as a table bucketed by slice.
+2. (pre-token, slice) pairs are shuffled by pre-token. Rows of one pre-token come together, sorted, and it is encoded
+   once. A pre-token has one row a slice at most, so the most frequent ones are no hot keys.
+3. The ids are joined back to their slices, which stay where they are, and each document's are put together by place.
+   Decoding joins the token-byte table (one row a token, of the vocabulary's size) the same way.
 
-Two ways of joining back, with the same result:
-- `encode_by_shuffle`: every occurrence is exploded with its place, joined with the encoded distinct words, and its text
-  put together by place. It moves several times the input.
-- `encode`: the ids of the HEAD_WORDS most frequent words are a table of proven size in each task; the rarer ones, which
-  occur about once a task, are encoded where they stand, into a memo of bounded size. Moves only distinct words.
+What is moved is a slice's vocabulary, not its text: shuffles take a fraction of the input, and the codes are written once.
 
 Special tokens have no meaning: their strings are ordinary text. Defined cases: a null or empty text has no ids and
 decodes to no bytes; repeated rows are encoded alike; very long pre-tokens are merged by the tokenizer library's own
-routine for them. Input columns other than the text are carried through.
+routine for them; an empty table gives no rows. Input columns other than the text are carried through, whatever their
+names; an input column named like one of OUT or DIGEST is an error of the caller.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, stage_table, text_or_empty
+from .common import batch_of, bucketed_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-HEAD_WORDS = 100_000
-MEMO_WORDS = 200_000
+#: Bytes of text in a slice, about: what one group of the last step holds.
+SLICE_BYTES = 1 << 24
 #: The pattern's equivalent for ASCII text, for the faster of two regular-expression engines.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
@@ -51,7 +53,6 @@ class Tokenizer:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.digits = [str(i) for i in range(len(self.bytes_of))]
 
     def split(self, text: str) -> list[str]:
         if self.ascii and text.isascii():
@@ -74,128 +75,133 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def _count(path: str, pattern: str, hold: int = 400_000):
-    """Rows (piece, n): the distinct pre-tokens of a task's text, emptied whenever `hold` of them are held."""
-    schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+class _Slice:
+    """Pre-tokens of the documents of one slice, and the batches that hold the documents' other columns."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, seen = tokenizer(path, pattern), {}
-        get = seen.get
-        for batch in it:
-            for text in batch.column(0):
-                for piece in tok.split(text.as_py() or ""):
-                    seen[piece] = get(piece, 0) + 1
-                if len(seen) >= hold:
-                    yield batch_of(schema, list(seen), list(seen.values()))
-                    seen.clear()
-        if seen:
-            yield batch_of(schema, list(seen), list(seen.values()))
+    def __init__(self):
+        self.code_of: dict[str, int] = {}
+        self.parts: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+        self.size = 0
 
-    return run
+    def add(self, rest: pa.RecordBatch, codes: list[np.ndarray]) -> None:
+        self.parts.append((rest, codes))
 
+    def codes(self, pieces: list[str]) -> np.ndarray:
+        seen = self.code_of
+        return np.fromiter((seen.setdefault(p, len(seen)) for p in pieces), np.int64, len(pieces))
 
-def words(docs: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
-    """(piece, n): every distinct pre-token of the corpus and how often it occurs."""
-    return docs.select(F.col(text)).mapInArrow(_count(path, pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    def rows(self, key: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Codes by falling frequency; the words stand in the slice's last row."""
+        everything = [c for _, codes in self.parts for c in codes]
+        n = np.bincount(np.concatenate(everything), minlength=len(self.code_of)) if everything else np.zeros(0, np.int64)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        kind = np.dtype("<u2") if len(order) <= 1 << 16 else np.dtype("<u4")
+        words = list(self.code_of)
+        for i, (rest, codes) in enumerate(self.parts):
+            told: list[list[str] | None] = [None] * len(codes)
+            if i == len(self.parts) - 1:
+                told[-1] = [words[j] for j in order.tolist()]
+            yield batch_of(schema, *rest.columns, [key] * len(codes), [kind.itemsize] * len(codes), [rank[c].astype(kind).tobytes() for c in codes], told)
 
 
-def _encode_words(path: str, pattern: str):
-    schema = pa.schema([("piece", pa.string()), ("ids", pa.list_(pa.int32()))])
+def _slices(path: str, pattern: str, at: int, limit: int):
+    added = pa.schema([pa.field("__tm_slice", pa.int64()), pa.field("__tm_width", pa.int32()), pa.field("__tm_codes", pa.binary()), pa.field("__tm_words", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
+        from pyspark import TaskContext
+
+        tok, n = tokenizer(path, pattern), 0
+        base = TaskContext.get().partitionId() << 32
+        now, schema = _Slice(), None
         for batch in it:
-            pieces = batch.column(0)
-            yield batch_of(schema, pieces, pa.array([tok.word(p.as_py()) for p in pieces], pa.list_(pa.int32())))
+            rest = pa.schema([f for i, f in enumerate(batch.schema) if i != at])
+            schema = pa.schema([*rest, *added])
+            others = pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], schema=rest)
+            first, codes = 0, []
+            for r, t in enumerate(batch.column(at)):
+                text = t.as_py() or ""
+                codes.append(now.codes(tok.split(text)))
+                now.size += len(text)
+                if now.size >= limit:
+                    now.add(others.slice(first, r + 1 - first), codes)
+                    yield from now.rows(base + n, schema)
+                    now, n, first, codes = _Slice(), n + 1, r + 1, []
+            if codes:
+                now.add(others.slice(first), codes)
+        if now.parts:
+            yield from now.rows(base + n, schema)
 
     return run
 
 
-class _Memo(dict):
-    """Ids of the head's words, and of others as they come, up to a bound."""
+def _encode_words(path: str, pattern: str):
+    """Rows (slice, at, ids) of rows (word, slice, at) sorted by word: each run of one word is encoded once."""
+    schema = pa.schema([("slice", pa.int64()), ("at", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
-    def __init__(self, head: dict, tok: Tokenizer, hold: int):
-        super().__init__()
-        self.head, self.tok, self.hold = head, tok, hold
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, last, ids = tokenizer(path, pattern), None, None
+        for batch in it:
+            out = []
+            for w in batch.column(0).to_pylist():
+                if w != last:
+                    last, ids = w, tok.word(w)
+                out.append(ids)
+            yield batch_of(schema, batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32())))
 
-    def __missing__(self, piece: str):
-        ids = self.head.get(piece)
-        if ids is None:
-            ids = self.tok.word(piece)
-        if len(self) >= self.hold:
-            self.clear()
-        self[piece] = ids
-        return ids
+    return run
 
 
+#: Columns added by encode(), and with digest.
 OUT = [("__tm_ids", T.ArrayType(T.IntegerType())), ("__tm_decoded", T.BinaryType())]
 DIGEST = [("__tm_n_tokens", T.LongType()), ("__tm_ids_sha", T.StringType()), ("__tm_decoded_sha", T.StringType())]
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, digest: bool = False, head_words: int = HEAD_WORDS) -> DataFrame:
-    """docs with __tm_ids and __tm_decoded (bytes), or with digest their count and sha256s, made in the task that has them."""
-    path, pattern = path or _public().path(VOCABULARY), pattern or _public().PATTERN
-    counted = words(docs, text, path, pattern).orderBy(F.desc("n"), "piece").limit(head_words)
-    table = counted.select("piece").mapInArrow(_encode_words(path, pattern), "piece string, ids array<int>").toArrow()
-    head = dict(zip(table["piece"].to_pylist(), map(tuple, table["ids"].to_pylist()), strict=True))
-    held = docs.sparkSession.sparkContext.broadcast(head)
-    n_in = len(docs.columns)
-    at = docs.columns.index(text)
-    fields = [*docs.schema.fields, *[T.StructField(n, t) for n, t in (DIGEST if digest else OUT)]]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
-        memo = _Memo(held.value, tok, MEMO_WORDS)
-        names = [f.name for f in fields]
-        for batch in it:
-            out = ([], [], []) if digest else ([], [])
-            for t in batch.column(at):
-                ids = list(chain.from_iterable(map(memo.__getitem__, tok.split(t.as_py() or ""))))
-                decoded = b"".join(map(tok.bytes_of.__getitem__, ids))
-                if digest:
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(" ".join(map(tok.digits.__getitem__, ids)).encode()).hexdigest())
-                    out[2].append(hashlib.sha256(decoded).hexdigest())
-                else:
-                    out[0].append(ids)
-                    out[1].append(decoded)
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_in], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
-
-    return docs.mapInArrow(run, T.StructType(fields))
-
-
-def _explode(path: str, pattern: str):
-    schema = pa.schema([("id", pa.string()), ("at", pa.int32()), ("piece", pa.string())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
-        for batch in it:
-            for key, t in zip(batch.column(0), batch.column(1), strict=True):
-                pieces = tok.split(t.as_py())
-                for i in range(0, len(pieces), 100_000):
-                    part = pieces[i : i + 100_000]
-                    yield batch_of(schema, [key.as_py()] * len(part), list(range(i, i + len(part))), part)
+def _assemble(path: str, pattern: str, digest: bool, names: list[str]):
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        table = tokenizer(path, pattern).bytes_of
+        ids: list = [None] * words.num_rows
+        for i, x in zip(words["at"].to_pylist(), words["ids"].to_pylist(), strict=True):
+            ids[i] = x
+        spelled = [b"".join([table[i] for i in x]) for x in ids]
+        added: tuple[list, ...] = ([], [], []) if digest else ([], [])
+        if digest:
+            written = [" ".join(map(str, x)) for x in ids]
+            count = np.array([len(x) for x in ids], np.int64)
+        for width, raw in zip(docs["__tm_width"].to_pylist(), docs["__tm_codes"], strict=True):
+            codes = np.frombuffer(raw.as_buffer(), f"<u{width}")
+            at = codes.tolist()
+            decoded = b"".join([spelled[c] for c in at])
+            if digest:
+                added[0].append(int(count[codes].sum()) if at else 0)
+                added[1].append(hashlib.sha256(" ".join([written[c] for c in at]).encode()).hexdigest())
+                added[2].append(hashlib.sha256(decoded).hexdigest())
+            else:
+                added[0].append([i for c in at for i in ids[c]])
+                added[1].append(decoded)
+        kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
+        kept = [docs.column(i).combine_chunks() for i in range(len(names) - len(kinds))]
+        return pa.table([*kept, *[pa.array(c, k) for c, k in zip(added, kinds, strict=True)]], names=names)
 
     return run
 
 
-def encode_by_shuffle(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with __tm_ids and __tm_decoded: distinct texts are exploded, joined with the encoded distinct words, put together by place."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, digest: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs without the text, with __tm_ids and __tm_decoded (bytes), or with digest their count and sha256s."""
     path, pattern = path or _public().path(VOCABULARY), pattern or _public().PATTERN
-    keyed = docs.withColumn("__tm_id", F.sha2(text_or_empty(F.col(text)), 256))
-    texts = keyed.select("__tm_id", text_or_empty(F.col(text)).alias("t")).dropDuplicates(["__tm_id"])
-    pieces = stage_table(texts.mapInArrow(_explode(path, pattern), "id string, at int, piece string"), "bpe-pieces")
-    encoded = pieces.select("piece").distinct().mapInArrow(_encode_words(path, pattern), "piece string, ids array<int>")
-    table = tokenizer(path, pattern).bytes_of
-    bytes_of = docs.sparkSession.createDataFrame([(i, bytearray(b)) for i, b in enumerate(table)], "id int, b binary")
-    spelled = encoded.select("piece", F.posexplode("ids").alias("i", "id")).join(F.broadcast(bytes_of), "id").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("i", "id", "b"))).alias("x"))
-    joined = pieces.join(spelled, "piece").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("y"))
-    ids = F.flatten(F.transform("y", lambda p: F.transform(p["x"], lambda x: x["id"])))
-    decoded = F.aggregate(F.flatten(F.transform("y", lambda p: F.transform(p["x"], lambda x: F.hex(x["b"])))), F.lit(""), lambda a, b: F.concat(a, b))
-    done = joined.select(F.col("id").alias("__k"), ids.alias("__ids"), F.unhex(decoded).alias("__dec"))
-    out = keyed.join(done, F.col("__tm_id") == F.col("__k"), "left")
-    return out.select(*docs.columns, F.coalesce("__ids", F.array().cast("array<int>")).alias("__tm_ids"), F.coalesce("__dec", F.lit(b"")).alias("__tm_decoded"))
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    rest = [f for f in docs.schema.fields if f.name != text]
+    own = [T.StructField("__tm_slice", T.LongType()), T.StructField("__tm_width", T.IntegerType()), T.StructField("__tm_codes", T.BinaryType()), T.StructField("__tm_words", T.ArrayType(T.StringType()))]
+    sliced = docs.mapInArrow(_slices(path, pattern, docs.columns.index(text), slice_bytes), T.StructType([*rest, *own]))
+    sliced = bucketed_table(sliced, "bpe-slices", "__tm_slice")
+
+    words = sliced.filter("__tm_words IS NOT NULL").select(F.col("__tm_slice").alias("slice"), F.posexplode("__tm_words").alias("at", "word"))
+    words = words.select("word", "slice", "at").repartition("word").sortWithinPartitions("word")
+    encoded = words.mapInArrow(_encode_words(path, pattern), "slice long, at int, ids array<int>")
+    out = T.StructType([*rest, *[T.StructField(n, t) for n, t in (DIGEST if digest else OUT)]])
+    texts = sliced.drop("__tm_words")
+    return texts.groupBy("__tm_slice").cogroup(encoded.groupBy("slice")).applyInArrow(_assemble(path, pattern, digest, out.names), out)
 
 
 def op5_bpe(docs: DataFrame) -> DataFrame:

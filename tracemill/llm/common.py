@@ -41,6 +41,17 @@ def stage_table(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key: what is clustered by that key later needn't move."""
+    spark = df.sparkSession
+    table = f"tracemill_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/tracemill/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    _paths.append((spark, path))
+    return spark.table(table)
+
+
 def drop_stage_tables() -> None:
     """Delete what stage_table has written in this process; also runs at exit while the session is alive."""
     while _paths:
