@@ -50,4 +50,4 @@ def promptfoo_prompt(prompt: Column) -> Column:
     names = r"\{(" + "|".join(PROMPTFOO_VARIABLES) + r")\}"
     raw = F.transform(F.split(prompt, names, -1), lambda p: F.when(p == "", "").otherwise(F.concat(F.lit("{% raw %}"), p, F.lit("{% endraw %}"))))
     variables = F.transform(F.regexp_extract_all(prompt, F.lit(names), F.lit(1)), lambda v: F.concat(F.lit("{{ "), v, F.lit(" }}")))
-    return F.array_join(F.zip_with(raw, F.concat(variables, F.array(F.lit(""))), F.concat), "")
+    return F.array_join(F.zip_with(raw, F.concat(variables, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")

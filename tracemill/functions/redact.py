@@ -27,7 +27,7 @@ PATTERNS = (
 def is_card(match: Column) -> Column:
     """13 to 19 digits that pass the Luhn check."""
     digits = F.regexp_replace(match, r"\D", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def _bind(value: Column, body) -> Column:
@@ -50,7 +50,7 @@ def redact(s: Column) -> Column:
                 parts = F.split(state, pattern, -1)
                 fixed = F.concat(F.transform(h, lambda m: F.when(is_card(m), F.lit(tag)).otherwise(m)), F.array(F.lit("")))
                 n = F.struct(F.lit(kind).alias("kind"), F.size(F.filter(h, is_card)).alias("n"))
-                return step(F.array_join(F.zip_with(parts, fixed, F.concat), ""), rest, [*found, n])
+                return step(F.array_join(F.zip_with(parts, fixed, lambda x, y: F.concat(x, y)), ""), rest, [*found, n])
 
             return _bind(hits, joined)
         n = F.struct(F.lit(kind).alias("kind"), F.regexp_count(state, F.lit(pattern)).alias("n"))
@@ -67,7 +67,7 @@ def redact_text(s: Column) -> Column:
 
     def cards(t: Column) -> Column:
         hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.when(is_card(m), F.lit("[REDACTED_CREDIT_CARD]")).otherwise(m))
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), F.concat(hits, F.array(F.lit(""))), F.concat), "")
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), F.concat(hits, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
 
     return F.when(s.isNotNull(), _bind(s, cards))
 

@@ -42,7 +42,11 @@ def strata_histogram(unique: DataFrame, n: int, stratify: tuple[str, ...] = ())
     A field of more than max(10, n // 2) values is skipped, and a default field with one value.
     """
     fields = [*FIELDS, *[f for f in stratify if f not in FIELDS]]
-    pairs = F.flatten(F.array(*[F.transform(strata_values(f), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f in fields]))
+
+    def named(field: str) -> Column:
+        return F.transform(strata_values(field), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    pairs = F.flatten(F.array(*[named(f) for f in fields]))
     counts = unique.select(F.explode(pairs).alias("p")).groupBy(F.col("p.field").alias("field"), F.col("p.value").alias("value")).agg(F.count(F.lit(1)).alias("count"))
     limit = max(10, n // 2)
     values = F.count(F.lit(1)).over(Window.partitionBy("field"))
