@@ -1,6 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training counts the 1- to 3-grams of labelled texts, lower-cased, hashed into BINS bins, for each language; the matrix
+Training counts the 1- to 3-grams of labelled texts, lower-cased, hashed into BINS bins, for each language, a text's
+own count c as log2(1 + c), so that one long or repetitive text doesn't stand for its language; the matrix
 of log probabilities is broadcast (languages x BINS doubles) and texts are scored in sparse batches: the sum of the
 matrix's columns at a text's n-grams. The prior is the languages' share of the labelled rows.
 
@@ -30,6 +31,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 20_000
 TEMPER = 100.0
 PART = 1 << 18
+#: Units of a damped count of 1.
+SCALE = 16
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -55,8 +58,8 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             row = by.setdefault(lang, np.zeros(BINS + 1, np.int64))
             row[BINS] += 1
-            for g in grams(text.as_py()):
-                row[:BINS] += np.bincount(g, minlength=BINS)
+            own = sum(np.bincount(g, minlength=BINS) for g in grams(text.as_py()))
+            row[:BINS] += np.rint(SCALE * np.log2(1 + own)).astype(np.int64)
     for lang, row in by.items():
         at = np.flatnonzero(row)
         yield batch_of(schema, [lang] * len(at), np.where(at == BINS, -1, at).astype(np.int32), row[at])
@@ -74,7 +77,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str
     table = np.zeros((len(langs), BINS + 1))
     at = {x: i for i, x in enumerate(langs)}
     table[[at[x] for x in counted["lang"].to_pylist()], counted["bin"].to_numpy()] = counted["n"].to_numpy()
-    priors, table = table[:, BINS], table[:, :BINS]
+    priors, table = table[:, BINS], table[:, :BINS] / SCALE
     log = np.log(table + 0.5) - np.log(table.sum(1, keepdims=True) + 0.5 * BINS)
     return langs, log, np.log(np.maximum(priors, 1)) - np.log(max(1, priors.sum()))
 
