@@ -3,10 +3,11 @@
 1. Pre-tokens (the matches of the tokenizer's pattern) are taken with their places, a slice of text at a time: a slice
    holds its distinct pre-tokens once, and each of its documents the codes of its pre-tokens in order, the more
    frequent the smaller. The slices are written as a table bucketed by slice.
-2. (pre-token, slice) pairs are shuffled by pre-token. Rows of one pre-token come together, sorted, and it is encoded
-   once. A pre-token has one row a slice at most, so the most frequent ones are no hot keys.
-3. The ids are joined back to their slices, which stay where they are, and each document's are put together by place.
-   Decoding joins the token-byte table (one row a token, of the vocabulary's size) the same way.
+2. The slices' vocabularies are shuffled by pre-token, packed: a slice has one row for each of N hash buckets, with its
+   pre-tokens of that bucket end to end. All rows of a bucket meet in one task, where each pre-token is encoded once. A
+   pre-token is in a slice once at most, so the most frequent ones are no hot keys.
+3. The ids, packed likewise, are joined back to their slices, which stay where they are, and each document's are put
+   together by place. Decoding joins the token-byte table (one row a token, of the vocabulary's size) the same way.
 
 What is moved is a slice's vocabulary, not its text: shuffles take a fraction of the input, and the codes are written once.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,6 +55,7 @@ class Tokenizer:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.kind = np.dtype("<u2") if len(self.bytes_of) <= 1 << 16 else np.dtype("<u4")
 
     def split(self, text: str) -> list[str]:
         if self.ascii and text.isascii():
@@ -90,24 +93,35 @@ class _Slice:
         seen = self.code_of
         return np.fromiter((seen.setdefault(p, len(seen)) for p in pieces), np.int64, len(pieces))
 
-    def rows(self, key: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """Codes by falling frequency; the words stand in the slice's last row."""
+    def rows(self, key: int, schema: pa.Schema, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Codes by falling frequency; the words stand in the slice's last row, by hash bucket."""
         everything = [c for _, codes in self.parts for c in codes]
         n = np.bincount(np.concatenate(everything), minlength=len(self.code_of)) if everything else np.zeros(0, np.int64)
         order = np.argsort(-n, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         kind = np.dtype("<u2") if len(order) <= 1 << 16 else np.dtype("<u4")
-        words = list(self.code_of)
+        words = [w.encode() for w in self.code_of]
+        words = [words[j] for j in order.tolist()]
+        of = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+        by = np.argsort(of, kind="stable")
+        packed = [
+            {"bucket": int(of[at[0]]), "at": np.diff(at, prepend=0).astype("<u4").tobytes(), "lengths": np.array([len(words[i]) for i in at], "<u4").tobytes(), "words": b"".join([words[i] for i in at])}
+            for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1)
+            if len(at)
+        ]
         for i, (rest, codes) in enumerate(self.parts):
-            told: list[list[str] | None] = [None] * len(codes)
+            told: list = [None] * len(codes)
             if i == len(self.parts) - 1:
-                told[-1] = [words[j] for j in order.tolist()]
+                told[-1] = packed
             yield batch_of(schema, *rest.columns, [key] * len(codes), [kind.itemsize] * len(codes), [rank[c].astype(kind).tobytes() for c in codes], told)
 
 
-def _slices(path: str, pattern: str, at: int, limit: int):
-    added = pa.schema([pa.field("__tm_slice", pa.int64()), pa.field("__tm_width", pa.int32()), pa.field("__tm_codes", pa.binary()), pa.field("__tm_words", pa.list_(pa.string()))])
+_PACKED = pa.list_(pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())]))
+
+
+def _slices(path: str, pattern: str, at: int, limit: int, buckets: int):
+    added = pa.schema([pa.field("__tm_slice", pa.int64()), pa.field("__tm_width", pa.int32()), pa.field("__tm_codes", pa.binary()), pa.field("__tm_words", _PACKED)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,29 +140,38 @@ def _slices(path: str, pattern: str, at: int, limit: int):
                 now.size += len(text)
                 if now.size >= limit:
                     now.add(others.slice(first, r + 1 - first), codes)
-                    yield from now.rows(base + n, schema)
+                    yield from now.rows(base + n, schema, buckets)
                     now, n, first, codes = _Slice(), n + 1, r + 1, []
             if codes:
                 now.add(others.slice(first), codes)
         if now.parts:
-            yield from now.rows(base + n, schema)
+            yield from now.rows(base + n, schema, buckets)
 
     return run
 
 
 def _encode_words(path: str, pattern: str):
-    """Rows (slice, at, ids) of rows (word, slice, at) sorted by word: each run of one word is encoded once."""
-    schema = pa.schema([("slice", pa.int64()), ("at", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    """Rows (slice, at, lengths, ids) of rows (bucket, slice, at, lengths, words) sorted by bucket; each word of a bucket is encoded once."""
+    schema = pa.schema([("slice", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last, ids = tokenizer(path, pattern), None, None
+        tok, now = tokenizer(path, pattern), None
+        seen: dict[bytes, bytes] = {}
         for batch in it:
-            out = []
-            for w in batch.column(0).to_pylist():
-                if w != last:
-                    last, ids = w, tok.word(w)
-                out.append(ids)
-            yield batch_of(schema, batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32())))
+            lengths, ids = [], []
+            for bucket, size, words in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                if bucket != now:
+                    now, seen = bucket, {}
+                raw, i, out = words.as_py(), 0, []
+                for n in np.frombuffer(size.as_buffer(), "<u4").tolist():
+                    w = raw[i : i + n]
+                    i += n
+                    if (x := seen.get(w)) is None:
+                        x = seen[w] = np.array(tok.word(w.decode()), tok.kind).tobytes()
+                    out.append(x)
+                lengths.append((np.array([len(x) for x in out], "<u4") // tok.kind.itemsize).astype("<u4").tobytes())
+                ids.append(b"".join(out))
+            yield batch_of(schema, batch.column(1), batch.column(2), lengths, ids)
 
     return run
 
@@ -160,10 +183,14 @@ DIGEST = [("__tm_n_tokens", T.LongType()), ("__tm_ids_sha", T.StringType()), ("_
 
 def _assemble(path: str, pattern: str, digest: bool, names: list[str]):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        table = tokenizer(path, pattern).bytes_of
-        ids: list = [None] * words.num_rows
-        for i, x in zip(words["at"].to_pylist(), words["ids"].to_pylist(), strict=True):
-            ids[i] = x
+        tok = tokenizer(path, pattern)
+        table, packed = tok.bytes_of, [np.frombuffer(x.as_buffer(), "<u4") for x in words["at"]]
+        ids: list = [None] * sum(map(len, packed))
+        for at, size, raw in zip(packed, words["lengths"], words["ids"], strict=True):
+            own, i = np.frombuffer(raw.as_buffer(), tok.kind).tolist(), 0
+            for a, n in zip(np.cumsum(at).tolist(), np.frombuffer(size.as_buffer(), "<u4").tolist(), strict=True):
+                ids[a] = own[i : i + n]
+                i += n
         spelled = [b"".join([table[i] for i in x]) for x in ids]
         added: tuple[list, ...] = ([], [], []) if digest else ([], [])
         if digest:
@@ -192,13 +219,15 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     path, pattern = path or _public().path(VOCABULARY), pattern or _public().PATTERN
     docs = docs.withColumn(text, F.col(text).cast("string"))
     rest = [f for f in docs.schema.fields if f.name != text]
-    own = [T.StructField("__tm_slice", T.LongType()), T.StructField("__tm_width", T.IntegerType()), T.StructField("__tm_codes", T.BinaryType()), T.StructField("__tm_words", T.ArrayType(T.StringType()))]
-    sliced = docs.mapInArrow(_slices(path, pattern, docs.columns.index(text), slice_bytes), T.StructType([*rest, *own]))
+    # a few buckets to a task, which are what it holds the distinct words of, one at a time
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [T.StructField("__tm_slice", T.LongType()), T.StructField("__tm_width", T.IntegerType()), T.StructField("__tm_codes", T.BinaryType()), T.StructField("__tm_words", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("at", "lengths", "words")]])))]
+    sliced = docs.mapInArrow(_slices(path, pattern, docs.columns.index(text), slice_bytes, buckets), T.StructType([*rest, *own]))
     sliced = bucketed_table(sliced, "bpe-slices", "__tm_slice")
 
-    words = sliced.filter("__tm_words IS NOT NULL").select(F.col("__tm_slice").alias("slice"), F.posexplode("__tm_words").alias("at", "word"))
-    words = words.select("word", "slice", "at").repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInArrow(_encode_words(path, pattern), "slice long, at int, ids array<int>")
+    words = sliced.filter("__tm_words IS NOT NULL").select(F.col("__tm_slice").alias("slice"), F.explode("__tm_words").alias("w"))
+    words = words.select("w.bucket", "slice", "w.at", "w.lengths", "w.words").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInArrow(_encode_words(path, pattern), "slice long, at binary, lengths binary, ids binary")
     out = T.StructType([*rest, *[T.StructField(n, t) for n, t in (DIGEST if digest else OUT)]])
     texts = sliced.drop("__tm_words")
     return texts.groupBy("__tm_slice").cogroup(encoded.groupBy("slice")).applyInArrow(_assemble(path, pattern, digest, out.names), out)
