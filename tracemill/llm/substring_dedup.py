@@ -148,7 +148,8 @@ def marks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR_WORDS, bi
     leaves = leaves.withColumn("__m", F.max(F.col("k").isNull()).over(node)).filter("__one = 1 AND k IS NOT NULL AND (q < 0 OR __c > 1 OR __m)")
     place = F.col("q").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = leaves.select("k", F.shiftrightunsigned("q", 32).bitwiseAND(F.lit(0x7FFFFFFF)).alias("crc"), place.cast("int").alias("start"), F.when(F.col("q") < 0, F.col("s")).otherwise(place + window).cast("int").alias("end"))
-    return spans.groupBy("k", "crc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # dealt first, as partial sets weigh several times their spans
+    return spans.repartition("k", "crc").groupBy("k", "crc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _remove():
