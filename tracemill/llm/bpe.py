@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,22 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+_ZSTD = pa.Codec("zstd")
+
+
+def _pack(*parts: bytes) -> bytes:
+    """Parts in one compressed block: what the shuffles and the slices' table hold."""
+    body = np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+    return np.array([len(body)], "<u4").tobytes() + _ZSTD.compress(body, asbytes=True)
+
+
+def _unpack(block: pa.Buffer, n: int) -> list[memoryview]:
+    size = int(np.frombuffer(block, "<u4", 1)[0])
+    body = memoryview(_ZSTD.decompress(memoryview(block)[4:], size, asbytes=True))
+    ends = 4 * n + np.cumsum(np.frombuffer(body, "<u4", n), dtype=np.int64)
+    return [body[a:b] for a, b in pairwise([4 * n, *ends.tolist()])]
+
+
 class _Slice:
     """Pre-tokens of the documents of one slice, and the batches that hold the documents' other columns."""
 
@@ -106,7 +123,7 @@ class _Slice:
         of = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
         by = np.argsort(of, kind="stable")
         packed = [
-            {"bucket": int(of[at[0]]), "at": np.diff(at, prepend=0).astype("<u4").tobytes(), "lengths": np.array([len(words[i]) for i in at], "<u4").tobytes(), "words": b"".join([words[i] for i in at])}
+            {"bucket": int(of[at[0]]), "packed": _pack(np.diff(at, prepend=0).astype("<u4").tobytes(), np.array([len(words[i]) for i in at], "<u4").tobytes(), b"".join([words[i] for i in at]))}
             for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1)
             if len(at)
         ]
@@ -117,7 +134,7 @@ class _Slice:
             yield batch_of(schema, *rest.columns, [key] * len(codes), [kind.itemsize] * len(codes), [rank[c].astype(kind).tobytes() for c in codes], told)
 
 
-_PACKED = pa.list_(pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())]))
+_PACKED = pa.list_(pa.struct([("bucket", pa.int32()), ("packed", pa.binary())]))
 
 
 def _slices(path: str, pattern: str, at: int, limit: int, buckets: int):
@@ -151,27 +168,31 @@ def _slices(path: str, pattern: str, at: int, limit: int, buckets: int):
 
 
 def _encode_words(path: str, pattern: str):
-    """Rows (slice, at, lengths, ids) of rows (bucket, slice, at, lengths, words) sorted by bucket; each word of a bucket is encoded once."""
-    schema = pa.schema([("slice", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+    """Rows (slice, packed: places, lengths, ids) of rows (bucket, slice, packed: places, lengths, words) sorted by bucket.
+
+    Each word of a bucket is encoded once.
+    """
+    schema = pa.schema([("slice", pa.int64()), ("packed", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, now = tokenizer(path, pattern), None
         seen: dict[bytes, bytes] = {}
         for batch in it:
-            lengths, ids = [], []
-            for bucket, size, words in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            done = []
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 if bucket != now:
                     now, seen = bucket, {}
-                raw, i, out = words.as_py(), 0, []
-                for n in np.frombuffer(size.as_buffer(), "<u4").tolist():
+                at, size, words = _unpack(block.as_buffer(), 3)
+                raw, i, out = bytes(words), 0, []
+                for n in np.frombuffer(size, "<u4").tolist():
                     w = raw[i : i + n]
                     i += n
                     if (x := seen.get(w)) is None:
                         x = seen[w] = np.array(tok.word(w.decode()), tok.kind).tobytes()
                     out.append(x)
-                lengths.append((np.array([len(x) for x in out], "<u4") // tok.kind.itemsize).astype("<u4").tobytes())
-                ids.append(b"".join(out))
-            yield batch_of(schema, batch.column(1), batch.column(2), lengths, ids)
+                lengths = np.array([len(x) for x in out], "<u4") // tok.kind.itemsize
+                done.append(_pack(at, lengths.astype("<u4").tobytes(), b"".join(out)))
+            yield batch_of(schema, batch.column(1), done)
 
     return run
 
@@ -184,11 +205,11 @@ DIGEST = [("__tm_n_tokens", T.LongType()), ("__tm_ids_sha", T.StringType()), ("_
 def _assemble(path: str, pattern: str, digest: bool, names: list[str]):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         tok = tokenizer(path, pattern)
-        table, packed = tok.bytes_of, [np.frombuffer(x.as_buffer(), "<u4") for x in words["at"]]
-        ids: list = [None] * sum(map(len, packed))
-        for at, size, raw in zip(packed, words["lengths"], words["ids"], strict=True):
-            own, i = np.frombuffer(raw.as_buffer(), tok.kind).tolist(), 0
-            for a, n in zip(np.cumsum(at).tolist(), np.frombuffer(size.as_buffer(), "<u4").tolist(), strict=True):
+        table, packed = tok.bytes_of, [_unpack(x.as_buffer(), 3) for x in words["packed"]]
+        ids: list = [None] * (sum(len(at) for at, _, _ in packed) // 4)
+        for at, size, raw in packed:
+            own, i = np.frombuffer(raw, tok.kind).tolist(), 0
+            for a, n in zip(np.cumsum(np.frombuffer(at, "<u4")).tolist(), np.frombuffer(size, "<u4").tolist(), strict=True):
                 ids[a] = own[i : i + n]
                 i += n
         spelled = [b"".join([table[i] for i in x]) for x in ids]
@@ -221,13 +242,13 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     rest = [f for f in docs.schema.fields if f.name != text]
     # a few buckets to a task, which are what it holds the distinct words of, one at a time
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = [T.StructField("__tm_slice", T.LongType()), T.StructField("__tm_width", T.IntegerType()), T.StructField("__tm_codes", T.BinaryType()), T.StructField("__tm_words", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("at", "lengths", "words")]])))]
+    own = [T.StructField("__tm_slice", T.LongType()), T.StructField("__tm_width", T.IntegerType()), T.StructField("__tm_codes", T.BinaryType()), T.StructField("__tm_words", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType())])))]
     sliced = docs.mapInArrow(_slices(path, pattern, docs.columns.index(text), slice_bytes, buckets), T.StructType([*rest, *own]))
     sliced = bucketed_table(sliced, "bpe-slices", "__tm_slice")
 
     words = sliced.filter("__tm_words IS NOT NULL").select(F.col("__tm_slice").alias("slice"), F.explode("__tm_words").alias("w"))
-    words = words.select("w.bucket", "slice", "w.at", "w.lengths", "w.words").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = words.mapInArrow(_encode_words(path, pattern), "slice long, at binary, lengths binary, ids binary")
+    words = words.select("w.bucket", "slice", "w.packed").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInArrow(_encode_words(path, pattern), "slice long, packed binary")
     out = T.StructType([*rest, *[T.StructField(n, t) for n, t in (DIGEST if digest else OUT)]])
     texts = sliced.drop("__tm_words")
     return texts.groupBy("__tm_slice").cogroup(encoded.groupBy("slice")).applyInArrow(_assemble(path, pattern, digest, out.names), out)
