@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracemill.functions import prompts, redact, text
@@ -69,6 +70,24 @@ def test_near_duplicate_groups(spark):
     assert strict["0"] == "0" == strict["4"] and strict["1"] == "1" and strict["5"] == strict["6"]
 
 
+def test_near_duplicates_have_full_recall(spark):
+    # texts of a high cosine by frequent grams, at a low Jaccard similarity
+    texts = ["river stone " * 40 + " ".join(f"w{i}x{j * j + i}" for j in range(12)) for i in range(30)] + [f"other{i} thing{i * i}" for i in range(10)]
+    grams = [dedupe.char_grams(t) for t in texts]
+    links = [(i, j) for i in range(40) for j in range(i) if dedupe.cosine(grams[i], grams[j]) >= 0.9]
+    assert len(links) >= 400 and all(len(grams[i].keys() & grams[j].keys()) < 0.8 * len(grams[i].keys() | grams[j].keys()) for i, j in links)
+    label = list(range(40))
+    for i, j in links * 6:
+        label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame([(f"{i:02}", i, t, False) for i, t in enumerate(texts)], "id string, pos int, text string, failure boolean")
+    assert {int(r.id): int(r.rep) for r in dedupe.near_groups(df, 0.9).collect()} == dict(enumerate(label))
+    for text in (texts[0] + " a ab a", "Ünï 漢字 😀x  b\n\tcde", "a"):
+        h, n = dedupe._vector(text)
+        assert sorted(n.tolist()) == sorted(dedupe.char_grams(text).values()) and len(set(h.tolist())) == len(h)
+    (h, n), (g, m) = dedupe._vector(texts[0]), dedupe._vector(texts[31])
+    assert (n * n).sum() == sum(x * x for x in grams[0].values()) and np.isin(h, g).sum() == len(grams[0].keys() & grams[31].keys())
+
+
 def test_char_grams_of_short_words():
     assert dedupe.char_grams("a") == {" a ": 1} and set(dedupe.char_grams("ab")) == {" ab", "ab ", " ab "}
     assert dedupe.char_grams("") == {}
