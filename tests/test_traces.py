@@ -111,6 +111,19 @@ def test_selection_covers_and_is_deterministic(spark):
     assert skipped["k"] == "60 distinct values (limit 10)" and skipped["route"] is None
 
 
+def test_fill_takes_the_least_similar(spark):
+    words = ["alpha beta", "alpha beta gamma", "alpha beta delta", "zeta eta theta", "zeta eta theta iota", "kappa lambda", "alpha kappa", "beta mu nu"]
+    rows = [(f"t{i}", i, 0, float(i if i not in (3, 4) else 90 + i), False, False, None, None, None, [], {}, w) for i, w in enumerate(words)]
+    u = spark.createDataFrame(rows, population(spark, 1).schema)
+    vectors = {r.id: (r.pos, r.features) for r in selection.tfidf(u)[0].collect()}
+    want = ["t0"]  # the central one
+    while len(want) < 5:
+        left = sorted((i for i in vectors if i not in want), key=lambda i: vectors[i][0])
+        want.append(min(left, key=lambda i: round(max(float(vectors[i][1].dot(vectors[x][1])) for x in want), 12)))
+    got = {p["id"] for p in selection.select_traces(u, 5)}
+    assert got == set(want) and len(got & {"t3", "t4"}) == 1  # near-alike outliers aren't both variety
+
+
 def test_topic_clusters(spark):
     df, terms = selection.topic_clusters(population(spark).drop("cluster", "dist"), 4, clusters=4, restarts=2)
     rows = df.collect()

@@ -1,15 +1,19 @@
 """A small, diverse, representative sample of unique traces, with a reason for each pick.
 
 unique: id, pos, cluster, dist (to the cluster's centre), failure, error, feedback, route, model, tools, metadata (map).
-The parts that scale with the traces (strata, budgets, ranks, quotas) are declarative. The last, sequential part works
-on the driver over a candidate table that holds, for each cluster and stratum value, no more rows than there are picks.
+The parts that scale with the traces (strata, budgets, ranks, quotas) are declarative. Failures, strata and centres are
+picked on the driver over a candidate table that holds, for each cluster and stratum value, no more rows than there are
+picks; the fill looks at all unique rows on the executors, by rounds that return one row for each cluster.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..staging import stage
+
 FIELDS = ("route", "tools", "error", "feedback")
 
 
@@ -147,13 +153,14 @@ def topic_clusters(texts: DataFrame, n: int, clusters: int | None = None, seed:
 # ---- the sequential part -------------------------------------------------------------------------------------------
 
 
-def pick(candidates: list[dict], histogram: list[dict], n: int, share: float = 0.3, similarity=None, sizes: dict | None = None, failures: int | None = None) -> list[dict]:
+def pick(candidates: list[dict], histogram: list[dict], n: int, share: float = 0.3, similarity=None, sizes: dict | None = None, failures: int | None = None, rounds: Callable | None = None) -> list[dict]:
     """Picks (id, cluster, reasons) from candidate rows with id, pos, cluster, dist, failure, strata {field: [values]}.
 
     In order: failures by turns over clusters; one trace for each stratum value not yet covered, rarest first; the most
     central trace of each cluster not yet covered; then quotas by cluster, each time the candidate least similar to
     what its cluster has. similarity(a, b) is the cosine of two candidates; without it, the more distant to the centre.
-    sizes and failures are those of all unique traces, where the candidates are only a part of them.
+    sizes and failures are those of all unique traces, where the candidates are only a part of them; the fill then comes
+    from rounds(ids by cluster, rows wanted by cluster), see farthest_rounds().
     """
     sizes = sizes or Counter(c["cluster"] for c in candidates)
     total = sum(sizes.values())
@@ -189,6 +196,20 @@ def pick(candidates: list[dict], histogram: list[dict], n: int, share: float = 0
     for c in sorted(clusters, key=lambda c: (quota[c] - need[c], c))[: max(0, left)]:
         quota[c] += 1
 
+    if rounds:
+        want, room = {}, n - len(chosen)
+        for c in sorted(clusters):
+            want[c] = min(quota[c], sizes[c] - have[c], room)
+            room -= want[c]
+        by: dict = defaultdict(list)
+        for x in chosen.values():
+            by[x["cluster"]].append(x["id"])
+        for r in rounds(by, want):
+            take(r, f"adds variety within cluster {r['cluster']}")
+        if (more := min(n, total) - len(chosen)) > 0:
+            for r in rounds({None: list(chosen)}, {None: more}):
+                take(r, "adds variety")
+
     def farthest(rows: list[dict], against: list[dict]) -> dict | None:
         rows = sorted((r for r in rows if r["id"] not in chosen), key=lambda r: r["pos"])
         if not rows or not against:
@@ -197,37 +218,101 @@ def pick(candidates: list[dict], histogram: list[dict], n: int, share: float = 0
             return max(rows, key=lambda r: (r["dist"], -r["pos"]))
         return min(rows, key=lambda r: max(similarity(r, a) for a in against))
 
-    for c in sorted(clusters):
+    for c in sorted(clusters) if not rounds else ():
         for _ in range(quota[c]):
             if len(chosen) < n and (r := farthest([x for x in candidates if x["cluster"] == c], [x["row"] for x in chosen.values() if x["cluster"] == c])):
                 take(r, f"adds variety within cluster {c}")
-    while len(chosen) < min(n, len(candidates)) and (r := farthest(candidates, [x["row"] for x in chosen.values()])):
+    while not rounds and len(chosen) < min(n, len(candidates)) and (r := farthest(candidates, [x["row"] for x in chosen.values()])):
         take(r, "adds variety")
     rows = sorted(chosen.values(), key=lambda x: (x["cluster"], x["row"]["pos"]))
     return [{k: v for k, v in x.items() if k != "row"} for x in rows]
 
 
 def candidate_table(unique: DataFrame, n: int, stratify: tuple[str, ...] = ()) -> DataFrame:
-    """The rows that pick() can want: of each cluster the n most central, the n most central failures and the n most
-    distant, and of each stratum value the most central one. Bounded by 3 n clusters plus the stratum values that are
+    """The rows that pick() can want before the fill: of each cluster the n most central and the n most central failures, and of each
+    stratum value the most central one. Bounded by 2 n clusters plus the stratum values that are
     not skipped, whatever the number of traces."""
     fields = [*FIELDS, *[f for f in stratify if f not in FIELDS]]
     hist = strata_histogram(unique, n, stratify).filter("skipped IS NULL").select("field", "value")
     strata = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[strata_values(f) for f in fields]))
     df = unique.withColumn("strata", strata)
     by = Window.partitionBy("cluster")
-    ranked = df.withColumns({"__c": F.row_number().over(by.orderBy("dist", "pos")), "__d": F.row_number().over(by.orderBy(F.desc("dist"), "pos")), "__f": F.row_number().over(Window.partitionBy("cluster", "failure").orderBy("dist", "pos"))})
-    near = ranked.filter((F.col("__c") <= n) | (F.col("__d") <= n) | (F.col("failure") & (F.col("__f") <= n))).select("id")
+    ranked = df.withColumns({"__c": F.row_number().over(by.orderBy("dist", "pos")), "__f": F.row_number().over(Window.partitionBy("cluster", "failure").orderBy("dist", "pos"))})
+    near = ranked.filter((F.col("__c") <= n) | (F.col("failure") & (F.col("__f") <= n))).select("id")
     pairs = df.select("id", "dist", "pos", F.explode(F.map_entries("strata")).alias("e")).select("id", "dist", "pos", F.col("e.key").alias("field"), F.explode("e.value").alias("value"))
     first = pairs.join(F.broadcast(hist), ["field", "value"]).groupBy("field", "value").agg(F.min_by("id", F.struct("dist", "pos")).alias("id")).select("id")
     return df.join(near.union(first).distinct(), "id", "left_semi").select("id", "pos", "cluster", "dist", "failure", "strata")
 
 
+def _likeness(vectors: dict):
+    """For each row and its cluster's picks, and under null for all: the greatest dot product, to 12 places."""
+    held = {c: [(np.array(i, np.int64), np.array(x)) for i, x in rows] for c, rows in vectors.items()}
+    width = 1 + max((int(i.max()) for rows in held.values() for i, _ in rows if len(i)), default=0)
+    names = ["id", "pos", "cluster", "dist", "failure", "likeness"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            index, value, cluster = batch.column(5), batch.column(6).flatten().to_numpy(), np.array(batch.column(2).to_pylist(), object)
+            at, starts = index.flatten().to_numpy(), np.concatenate([[0], np.cumsum(index.value_lengths().to_numpy())]).astype(np.int64)
+            out = np.full(batch.num_rows, -1.0)
+            value, at = np.where(at < width, value, 0.0), np.minimum(at, width - 1)
+            for c, rows in held.items():
+                of = np.ones(batch.num_rows, bool) if c is None else cluster == c
+                for i, x in rows if of.any() else ():
+                    dense = np.zeros(width)
+                    dense[i] = x
+                    sums = np.add.reduceat(np.append(dense[at] * value, 0.0), starts)[:-1] * (np.diff(starts) > 0)
+                    out = np.where(of, np.maximum(out, sums), out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.round(out, 12))], names=names)
+
+    return run
+
+
+def farthest_rounds(unique: DataFrame) -> Callable:
+    """rounds(picked, want) over all rows of unique (features, or text for tfidf()): of each cluster want[cluster] rows, one
+    in each round, whose greatest similarity to the cluster's picks is least, ties to the first position; a cluster None
+    stands for all rows. picked: ids by cluster. The driver holds the picks and their vectors."""
+    df = unique if "features" in unique.columns else tfidf(unique)[0]
+
+    @F.udf("struct<i: array<int>, x: array<double>>")
+    def parts(v):
+        dense = not isinstance(v, SparseVector)
+        return (list(range(len(v))), v.toArray().tolist()) if dense else (v.indices.tolist(), v.values.tolist())
+
+    rows = stage(df.select("id", "pos", "cluster", "dist", "failure", parts("features").alias("v")).select("id", "pos", "cluster", "dist", "failure", "v.i", "v.x"), "pick-vectors")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:5]) + ", likeness double"
+
+    def rounds(picked: dict, want: dict) -> list[dict]:
+        ids = sorted({i for x in picked.values() for i in x})
+        of = {r.id: (r.i, r.x) for r in rows.filter(F.col("id").isin(ids)).select("id", "i", "x").collect()} if ids else {}
+        vectors = {c: [of[i] for i in x] for c, x in picked.items()}
+        left, found = {c: k for c, k in want.items() if k > 0}, []
+        while left:
+            free = rows.filter(~F.col("id").isin(ids)) if ids else rows
+            if None not in left:
+                free = free.filter(F.col("cluster").isin(list(left)))
+            like = free.mapInArrow(_likeness({c: vectors.get(c, []) for c in left}), schema)
+            best = like.groupBy(F.lit(None).cast("int").alias("k") if None in left else F.col("cluster").alias("k")).agg(F.min_by("id", F.struct("likeness", "pos")).alias("id"))
+            new = [r.id for r in best.collect()]
+            if not new:
+                break
+            for r in sorted(rows.filter(F.col("id").isin(new)).collect(), key=lambda r: (r.cluster, r.pos)):
+                c = None if None in left else r.cluster
+                found.append({k: r[k] for k in ("id", "pos", "cluster", "dist", "failure")})
+                vectors.setdefault(c, []).append((r.i, r.x))
+                ids.append(r.id)
+                left[c] -= 1
+            left = {c: k for c, k in left.items() if k > 0}
+        return found
+
+    return rounds
+
+
 def select_traces(unique: DataFrame, n: int = 50, share: float = 0.3, stratify: tuple[str, ...] = ()) -> list[dict]:
-    """pick() over candidate_table(); unique must have cluster and dist (see topic_clusters)."""
+    """pick() over candidate_table(), filled by farthest_rounds(); unique must have cluster and dist (see topic_clusters), and features or text."""
     fields = [*FIELDS, *[f for f in stratify if f not in FIELDS]]
     hist = [{**r.asDict(), "order": fields.index(r["field"])} for r in strata_histogram(unique, n, stratify).filter("skipped IS NULL").collect()]
     rows = [r.asDict(recursive=True) for r in candidate_table(unique, n, stratify).collect()]
     sizes = {r["cluster"]: r["size"] for r in cluster_shares(unique).collect()}
     failures = unique.filter("failure").count()
-    return pick(rows, hist, n, share, sizes=sizes, failures=failures) if rows else []
+    return pick(rows, hist, n, share, sizes=sizes, failures=failures, rounds=farthest_rounds(unique)) if rows else []
