@@ -200,6 +200,14 @@ def test_html_extraction(spark):
     assert html_extract.op4_html_extraction(df.limit(0)).collect() == []
 
 
+def test_html_article_split_by_long_comments(spark):
+    a, b = "First part, with commas and words. " * 28, "Second part, told at length too. " * 24
+    data = [(i, f"http://h.org/{i}", f"<body><section class='a'><p>{a}</p></section><div class='comments'><p>{'reader says. ' * 70}</p></div><section class='b'><p>{b}</p></section></body>") for i in range(3)]
+    data.append((9, "http://h.org/9", f"<body><section class='a'><p>Teaser.</p></section><div class='story'><p>{b}</p></div></body>"))
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{a.strip()} {b.strip()}" for i in range(3)) and b.strip() in got[9]
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@
 2. Spark sums the votes of each host's pages by path, in two steps so that a host with a third of all pages is summed
    in many tasks first; the path with the most score wins, ties to the shorter and then smaller path. Paths that hold
    main text and aren't inside one another (an article in two parts) win together if close in score.
-3. Each page is read again with its host's path. A page on which the path matches nothing takes its own best container.
+3. Each page is read again with its host's paths. A page on which they match nothing, or little beside its own best
+   container (less than a quarter of its score), takes its own containers.
 
 Blocks of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by tag, role
 and class words and never count as main text, whatever their container.
@@ -217,39 +218,61 @@ def best_container(found: list[tuple[str, str, int, bool]]) -> tuple[str | None,
     return (best, own[best]) if best is not None and own[best] > 0 else (None, 0.0)
 
 
+#: A container outside the best one is main text too from this share of its score; so many at most.
+CLOSE, ALSO = 0.5, 3
+
+
+def main_containers(found: list[tuple[str, str, int, bool]]) -> tuple[list[str], float]:
+    """The best container and those disjoint from it and each other that are close in score, and the best score."""
+    own = scores(found)
+    ranked = sorted((k for k in own if own[k] > 0), key=lambda k: (-own[k], k.count(">"), k))
+    tops: list[str] = []
+    for k in ranked:
+        if own[k] < CLOSE * own[ranked[0]] or len(tops) > ALSO:
+            break
+        if not any(f"{k}>".startswith(f"{t}>") or f"{t}>".startswith(f"{k}>") for t in tops):
+            tops.append(k)
+    return tops, own[ranked[0]] if ranked else 0.0
+
+
 def extract(found: list[tuple[str, str, int, bool]], winner: str | None) -> str:
-    """The text below the winning container (else the page's own best), without dropped blocks."""
+    """The text below the winning containers, one a line (else the page's own), in page order, without dropped blocks."""
 
-    def below(top: str) -> list[str]:
-        return [t for p, t, _, dropped in found if not dropped and (p == top or p.startswith(top + ">"))]
+    def below(tops: list[str]) -> list[str]:
+        inside = tuple(f"{t}>" for t in tops)
+        return [t for p, t, _, dropped in found if not dropped and f"{p}>".startswith(inside)]
 
-    text = below(winner) if winner else []
-    if not text:
-        best, _ = best_container(found)
-        text = below(best) if best is not None else [t for _, t, _, dropped in found if not dropped]
+    text = below(winner.split("\n")) if winner else []
+    own, score = main_containers(found)
+    if not text or 4 * sum(map(len, text)) < score:
+        text = below(own) if own else text or [t for _, t, _, dropped in found if not dropped]
     return " ".join(text)
 
 
 def _votes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("score", pa.int64())])
+    """(host, path, also): votes for a best container, with an empty also, and for each that is close to it."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("also", pa.string()), ("votes", pa.int64()), ("score", pa.int64())])
     for batch in it:
-        votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+        votes: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
         for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            best, score = best_container(blocks(page.as_py() or ""))
-            if best is not None:
-                v = votes[host_of(url.as_py()), best]
+            tops, score = main_containers(blocks(page.as_py() or ""))
+            for also in ["", *tops[1:]] if tops else ():
+                v = votes[host_of(url.as_py()), tops[0], also]
                 v[0] += 1
                 v[1] += int(score)
         if votes:
-            yield batch_of(schema, [h for h, _ in votes], [p for _, p in votes], [v for v, _ in votes.values()], [s for _, s in votes.values()])
+            yield batch_of(schema, *[[k[i] for k in votes] for i in range(3)], [v for v, _ in votes.values()], [s for _, s in votes.values()])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the container with most votes of each host; ties to more score, then the shorter and smaller path."""
-    votes = pages.select("url", "html").mapInArrow(_votes, "host string, path string, votes long, score long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    """(host, path): the container with most votes of each host, ties to more score, then the shorter and smaller path; with
+    it, each on a line of its own, those close to it on half of the pages that voted for it (a bounded number)."""
+    votes = pages.select("url", "html").mapInArrow(_votes, "host string, path string, also string, votes long, score long")
+    votes = stage_table(votes.groupBy("host", "path", "also").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score")), "host-votes")
     rank = F.struct("votes", "score", (-F.length("path")).alias("l"), F.col("path").alias("p"))
-    return votes.groupBy("host").agg(F.max_by("path", rank).alias("path"))
+    won = votes.filter("also = ''").groupBy("host").agg(F.max_by("path", rank).alias("path"), F.max("votes").alias("most"))
+    also = votes.filter("also <> ''").join(won, ["host", "path"]).filter("2 * votes >= most").groupBy("host").agg(F.array_sort(F.collect_list("also")).alias("also"))
+    return won.join(also, "host", "left").select("host", F.concat_ws("\n", "path", "also").alias("path"))
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
