@@ -208,6 +208,15 @@ def test_html_article_split_by_long_comments(spark):
     assert all(got[i] == f"{a.strip()} {b.strip()}" for i in range(3)) and b.strip() in got[9]
 
 
+def test_html_raw_and_unclosed_tags():
+    text = lambda page: html_extract.extract(html_extract.blocks(page), None)
+    for odd in ("<svg class='icon'/>", "<math/>", "<svg><title>no</title><text>no</text></svg>", "<select><option>no</select>", "<noscript><p>no</p></noscript>", "<script>'<p>no</p>'</script>"):
+        assert text(f"<body><article><p>One, two. {odd} Three.</p><p>Four.</p></article></body>") == "One, two. Three. Four."
+    for odd in ("<select><option>no", "<object>no", "<iframe src=x>no", "<canvas>no"):
+        assert text(f"<body><article><div>{odd}</div><p>One, two.</p><svg class='x'/><p>Three.</p></article></body>") == "One, two. Three."
+    assert text("<html><head><title>no</head><body><p>One, two.</p><svg><title>x</title></svg></body>") == text("<title>no<body><p>One, two.</p></body>") == "One, two."
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 

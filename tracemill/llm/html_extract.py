@@ -33,10 +33,11 @@ from .common import batch_of, stage_table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
+_RAW = {"script", "style", "textarea", "title", "iframe"}  # hold text, not tags
+_ODD = {"noscript", "template", "svg", "math", "object", "canvas", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_DROP_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head", "input", "option"} | _RAW
+_DROP_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head", "input", "option"} | _RAW | _ODD
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
 _DROP_WORDS = set(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion menu nav navbar navigation navi breadcrumb breadcrumbs "
@@ -82,6 +83,17 @@ def _facts(tag: str, raw: str) -> tuple[str, bool, bool]:
     return _step(tag, attrs), _is_dropped(tag, attrs, {"article"}), _is_dropped(tag, attrs, set())
 
 
+def _raw_end(tag: str, page: str, at: int) -> int | None:
+    """Where a raw element's end tag ends; None if it is unclosed, which shows by the start tag of another one or of the body."""
+    found = _raw_pattern(tag).search(page, at)
+    return found.end() if found and found[0].startswith("</") else None
+
+
+@lru_cache
+def _raw_pattern(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>" + ("" if tag in ("script", "style") else rf"|<{tag}[\s>]|<body[\s>]|</head\s*>"), re.I)
+
+
 def _plain(parts: list[str]) -> str:
     text = "".join(parts)
     if "&" in text:
@@ -161,11 +173,15 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
                     close(d)
                     if tag != "tr":
                         break
-        if tag in _RAW:
+        if tag in _RAW or tag in _ODD:
             parts.append(" ")
-            closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = closing.end() if closing else n
+            if raw.endswith("/") and tag not in ("script", "style"):
+                continue
+        if tag in _RAW and (closing := _raw_end(tag, page, at)):
+            at = closing
             continue
+        if tag == "body":  # an unclosed head or title ends here
+            close(next((d for d in range(len(stack)) if stack[d][0] in ("head", "title")), len(stack)))
         inline = tag in _INLINE
         if parts and not inline:
             flush()
