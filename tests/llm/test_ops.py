@@ -217,6 +217,19 @@ def test_html_raw_and_unclosed_tags():
     assert text("<html><head><title>no</head><body><p>One, two.</p><svg><title>x</title></svg></body>") == text("<title>no<body><p>One, two.</p></body>") == "One, two."
 
 
+def test_html_names_that_hold_the_main_text():
+    text = lambda page: html_extract.extract(html_extract.blocks(page), None)
+    body = "A long sentence of the article, with commas. " * 8
+    said = body.strip()
+    for name in ("class='content has-sidebar'", "class='layout-sidebar-right'", "class='no-ads'", "id='page-with-menu'", "class='widget'"):
+        assert text(f"<body><div {name}><p>{body}</p></div><div class='sidebar'>side</div></body>") == said
+        assert text(f"<body><div {name}><div class='menu'><a href='/'>Home</a></div><main><p>{body}</p></main></div></body>") == said
+    assert text(f"<body><div class='overlay'><article><div class='article-header'><h1>Title</h1></div><p>{body}</p><section class='discussion'><p>We discuss.</p></section></article></div></body>") == f"Title {said} We discuss."
+    comments = f"<div class='comments'><article class='comment'><p>{body * 9}</p></article></div>"
+    assert text(f"<body><div class='content'><p>Short news.</p></div>{comments}<nav><main>no</main></nav></body>") == "Short news."
+    assert text(f"<body><article><p>{body}</p></article><div class='related'><article><p>Teaser.</p></article></div></body>") == said
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,10 @@
    container (less than a quarter of its score), takes its own containers.
 
 Blocks of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by tag, role
-and class words and never count as main text, whatever their container.
+and class words and never count as main text, whatever their container. A class or id that says what its element has
+or lacks (has-sidebar, layout-sidebar-right, no-ads) is no such word; what <main> or a page's only <article> holds isn't
+dropped by the names of what is around it; and an element dropped by name that holds nearly all prose of a page is kept,
+unless it is named for comments.
 
 Defined cases: a null or empty html gives the empty text; a null url is a host of its own; pages that repeat vote each;
 an unclosed tag ends with its parent; characters after `<` that form no tag are text; columns other than page_id, url
@@ -48,26 +51,46 @@ _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption"}
 _KIN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _KIN_STOP = {"ul", "ol", "dl", "table", "select", "menu"}
+#: A name with one of these words tells of an element's surroundings or contents, not what it is.
+_QUALIFIERS = {"has", "have", "is", "no", "not", "non", "without", "with", "layout"}
+#: Words of an article's parts; dropped outside of articles only.
+_PARTS = {"header", "discussion"}
+_READERS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+#: How drops are told: by a name, by a name of readers' text, or by tag, role or style.
+_BY_NAME, _BY_READERS, _SURE = 1, 2, 3
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+_ARTICLE = re.compile(r"<article[\s>]", re.I)
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url or "")
     return re.sub(r":\d*$", "", (m[1] if m else "").rpartition("@")[2].lower())
 
 
-def _is_dropped(tag: str, attrs: dict[str, str], inside: set[str]) -> bool:
+def _is_dropped(tag: str, attrs: dict[str, str], inside: set[str]) -> int:
+    """0, or how the drop is told."""
     if tag in _DROP_TAGS or attrs.get("role", "").lower() in _DROP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return _SURE
     if tag == "header":  # of the page; an article's own header holds its title
-        return "article" not in inside and "main" not in inside
+        return 0 if inside else _SURE
     if tag in ("html", "body", "main", "article"):
-        return False
+        return 0
     if re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    words = [w.lower() for w in _SPLIT.findall(names)]
-    return any(w in _DROP_WORDS for w in words)
+        return _SURE
+    return _named(attrs, bool(inside))
+
+
+def _named(attrs: dict[str, str], inside: bool) -> int:
+    found: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _SPLIT.findall(name)}
+        if not words & _QUALIFIERS:
+            found |= words & _DROP_WORDS
+    if inside:
+        found -= _PARTS
+    return _BY_READERS if found & _READERS else _BY_NAME if found else 0
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -77,10 +100,10 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def _facts(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(step, dropped in an article, dropped elsewhere) of a start tag; a page's header is dropped, an article's isn't."""
+def _facts(tag: str, raw: str) -> tuple[str, int, int, bool]:
+    """(step, drop in an article, drop elsewhere, named as dropped) of a start tag; a page's header is dropped, an article's isn't."""
     attrs = {k.lower(): html_lib.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(raw)} if raw.strip(" /\n\t") else {}
-    return _step(tag, attrs), _is_dropped(tag, attrs, {"article"}), _is_dropped(tag, attrs, set())
+    return _step(tag, attrs), _is_dropped(tag, attrs, {"article"}), _is_dropped(tag, attrs, set()), _named(attrs, True) > 0
 
 
 def _raw_end(tag: str, page: str, at: int) -> int | None:
@@ -101,10 +124,35 @@ def _plain(parts: list[str]) -> str:
     return " ".join(text.split())
 
 
+#: Prose that an element dropped by name must have, and its multiple of all that is kept, to be kept after all.
+SPARE_CHARS, SPARE_TIMES = 200, 10
+
+
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     """(path, text, characters in links, dropped) of each block of text, in page order; the path ends at the block's container."""
+    spared: set[int] = set()
+    while True:
+        found, origin = _parsed(page, spared)
+        kept, by = 0, defaultdict(int)
+        for (_, text, links, dropped), at in zip(found, origin, strict=True):
+            prose = max(0, len(text) - 2 * links)
+            if not dropped:
+                kept += prose
+            elif at >= 0:
+                by[at] += prose
+        top = max(by, key=lambda k: (by[k], -k), default=-1)
+        if top < 0 or by[top] < SPARE_CHARS or by[top] < SPARE_TIMES * kept:
+            return found
+        spared.add(top)
+
+
+def _parsed(page: str, spared: set[int]) -> tuple[list[tuple[str, str, int, bool]], list[int]]:
+    """blocks() where the elements that start at the places `spared` aren't dropped by name; and of each block the place of
+    the outermost element by whose name alone it is dropped, or -1."""
     out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, dropped
+    origin: list[int] = []
+    stack: list[tuple[str, str, int, int]] = []  # tag, path, drop, where it began
+    one_article = len(_ARTICLE.findall(page)) == 1
     parts: list[str] = []
     links = linked = 0
     at, n = 0, len(page)
@@ -114,7 +162,8 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         nonlocal links
         text = _plain(parts)
         if text:
-            out.append((stack[-1][1] if stack else "", text, min(links, len(text)), bool(stack) and stack[-1][2]))
+            out.append((stack[-1][1] if stack else "", text, min(links, len(text)), bool(stack and stack[-1][2])))
+            origin.append(stack[-1][3] if stack and stack[-1][2] == _BY_NAME else -1)
         parts.clear()
         links = 0
 
@@ -187,17 +236,21 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             flush()
         if tag in _VOID or (raw.endswith("/") and tag not in _CLOSES_P):
             continue
-        _, above, dropped = stack[-1] if stack else ("", "", False)
-        step, within, outside = _facts(tag, raw)
-        dropped_here = dropped or (outside if outside == within or not any(t in ("article", "main") for t, _, _ in stack) else within)
-        if dropped_here != dropped and parts:
+        _, above, dropped, began = stack[-1] if stack else ("", "", 0, -1)
+        step, within, outside, named = _facts(tag, raw)
+        if dropped < _SURE and (tag == "main" or (tag == "article" and one_article)) and not named:
+            dropped_here = outside  # ends a drop by name
+        else:
+            own = outside if outside == within or not any(t in ("article", "main") for t, *_ in stack) else within
+            dropped_here = max(dropped, 0 if own == _BY_NAME and i in spared else own)
+        if bool(dropped_here) != bool(dropped) and parts:
             flush()
-        stack.append((tag, above if inline else f"{above}>{step}" if above else step, dropped_here))
+        stack.append((tag, above if inline else f"{above}>{step}" if above else step, dropped_here, began if dropped else i))
         linked += tag == "a"
     close(0)
     if parts:
         flush()
-    return out
+    return out, origin
 
 
 _NAMED = {"article": 1.5, "main": 1.3}
