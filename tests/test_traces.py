@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import prompts, redact, text
 from tracemill.operators import components, dedupe, labelling, planning, selection, suites, traces
+from tracemill.plans import traces as plans
 from tracemill.sinks import exports
 from tracemill.streaming import flips
 
@@ -132,6 +133,19 @@ def test_topic_clusters(spark):
     assert selection.topic_clusters(blank, 3)[0].first().cluster == 0
 
 
+def test_registered_topic_clusters_takes_the_best_of_ten(spark, monkeypatch):
+    seeds = []
+
+    class Counted(selection.KMeans):
+        def fit(self, df):
+            seeds.append(self.getSeed())
+            return super().fit(df)
+
+    monkeypatch.setattr(selection, "KMeans", Counted)
+    monkeypatch.setattr(plans, "unique_doc_traces", lambda spark, sf_dir: population(spark, 12))
+    assert plans.topic_clusters(spark, "").count() == 12 and seeds == list(range(10))
+
+
 def test_allocation_and_picks(spark):
     assert labelling.allocate({"pass": 4, "fail": 16}, 8) == {"fail": 4, "pass": 4} and labelling.allocate({"a": 1, "b": 9}, 6) == {"a": 1, "b": 5}
     cases = spark.createDataFrame([(f"c{i:02}", i % 2 == 0, [f"cluster:{i % 3}"]) for i in range(20)], "id string, observed_failure boolean, tags array<string>")

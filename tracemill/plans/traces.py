@@ -111,7 +111,7 @@ def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unique_doc_traces(spark, sf_dir).drop("cluster", "dist")
-    df, _ = selection.topic_clusters(u, N, restarts=2)
+    df, _ = selection.topic_clusters(u, N)
     return df.select("id", "cluster", "dist")
 
 
