@@ -248,6 +248,31 @@ def test_bpe_equals_the_library_and_round_trips(docs):
     assert got == Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows())
 
 
+def test_bpe_in_small_runs_and_parts(docs, monkeypatch):
+    """Slices of few words, and texts taken in parts, change nothing."""
+    want = Counter(map(tuple, bpe.op5_bpe(docs).collect()))
+    assert Counter(map(tuple, bpe.encode(docs.select("doc_id", "text"), digest=True, slice_words=20).collect())) == want
+    tok = bpe.tokenizer(__import__("public_tokenizers").path(bpe.VOCABULARY), __import__("public_tokenizers").PATTERN)
+    for text in (rows()[14][1], "é" + rows()[14][1]):
+        whole = [x for part in tok.pieces(text) for x in part]
+        monkeypatch.setattr(bpe, "RUN", 64)
+        parts = list(tok.pieces(text))
+        monkeypatch.undo()
+        assert max(map(len, parts)) <= 8 and [x for part in parts for x in part] == whole
+
+
+def test_bpe_decode_joins_the_token_table(spark, docs):
+    ids = bpe.encode(docs.select("doc_id", "text")).select("doc_id", F.col("__tm_ids").alias("ids"), F.col("__tm_decoded").alias("want"), F.lit(1).alias("token"), F.lit(2).alias("pos"))
+    got = bpe.decode(ids)
+    assert got.columns == [*ids.columns, "__tm_decoded"]
+    assert len(found := got.collect()) == len(rows()) and all(r["__tm_decoded"] == r.want for r in found)
+    few = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [0, 0])], "n int, ids array<int>")).collect()
+    assert [len(r["__tm_decoded"]) for r in sorted(few)] == [0, 0, 2]
+    with pytest.raises(Exception, match="no such token"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "n int, ids array<int>")).collect()
+    assert bpe.decode(spark.createDataFrame([], "ids array<int>")).count() == 0
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 

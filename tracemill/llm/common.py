@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +22,16 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _paths: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, as in tests, one is made where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,11 +54,18 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
     _paths.append((spark, path))
+    _tables.append((spark, table))
     return spark.table(table)
 
 
 def drop_stage_tables() -> None:
-    """Delete what stage_table has written in this process; also runs at exit while the session is alive."""
+    """Delete what stage_table and bucketed_table have written in this process; also runs at exit while the session is alive."""
+    while _tables:
+        spark, table = _tables.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session may have ended before
+            break
     while _paths:
         spark, path = _paths.pop()
         try:
@@ -99,6 +111,14 @@ def running_start(df: DataFrame, keys: list[str], order: list[Column], value: st
     return df.join(sums, match).withColumn(out, F.col(out) + F.col(base)).drop(b, base, "__tm_b", *[f"__tm_k{i}" for i in range(len(keys))])
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the system: workers are kept, and wait beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---- byte spans in numpy -------------------------------------------------------------------------------------------
 
 U = np.uint64
