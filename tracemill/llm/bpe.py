@@ -43,7 +43,7 @@ from .common import batch_of, bucketed_table, release, stage_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A slice ends with the document that gives it so many distinct pre-tokens or characters.
-SLICE_WORDS = 1 << 18
+SLICE_WORDS = 1 << 19
 SLICE_BYTES = 1 << 25
 #: Characters of text, or pre-tokens, that a task turns into one batch of rows.
 RUN = 1 << 20
