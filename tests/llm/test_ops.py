@@ -420,3 +420,35 @@ def test_substring_dedup_brute_force(spark, window, anchor):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, window)
     tiny = {r.doc_id: r["__tm_kept"] for r in substring_dedup.remove_repeats(df.select("doc_id", "text"), window=window, anchor=anchor) .collect()}
     assert tiny == got
+
+
+@pytest.mark.parametrize(("group", "bits"), [(1, 27), (3, 27), (10**6, 27), (3, 6)])
+def test_substring_dedup_hot_prefixes_and_small_chunks(spark, monkeypatch, group, bits):
+    """Extended prefixes, full bitmaps, chunks of few words and texts of other tasks change nothing."""
+    rng = np.random.default_rng(18)
+    passage = sentence(31, 30)
+    texts = [f"{sentence(200 + i, 20)} {passage} {sentence(300 + i % 7, 12)}" for i in range(60)] + [" ".join(rng.choice(list("abc"), 40)) for _ in range(20)] + ["x y " * 50] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    for name, value in (("CHUNK_WORDS", 50), ("REMEMBER", 8)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    keyed = df.select("text", F.xxhash64("text").alias("k"), F.crc32("text").alias("crc"))
+    spans = {(r.k, r.crc): r.spans for r in substring_dedup.marks(keyed, 11, 4, bits, group).collect()}
+    key = {r.text: (r.k, r.crc & 0x7FFFFFFF) for r in keyed.collect()}
+    for t, want in zip(texts, brute_removed(texts, 11), strict=True):
+        w, gone = t.split(), {j for a, b in spans.get(key[t], []) for j in range(a, b)}
+        assert " ".join(x for j, x in enumerate(w) if j not in gone) == want
+
+
+def test_sorted_suffixes_have_their_lcps():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, 400)
+    for depth in (1, 3, 8, 35):
+        s = substring_dedup.Suffixes(words, depth)
+        places = np.arange(len(words) - depth + 1)
+        order = s.order(places)
+        heads = [tuple(words[p : p + depth]) for p in order]
+        assert heads == sorted(heads)
+        a, b = order[:-1], order[1:]
+        room = np.minimum(len(words) - a, len(words) - b)
+        want = [next((n for n in range(depth) if words[x + n] != words[y + n]), depth) for x, y in zip(a, b, strict=True)]
+        assert np.minimum(s.lcp(a, b, room), depth).tolist() == want
