@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in 10 documents or more go; texts and n_chars follow. A text of such lines only is left empty."""
     docs = docs.select(*COLUMNS)
-    out = line_dedup.drop_lines(docs, line_dedup.index(docs).found(line_dedup.MIN_DOCS))
+    out = line_dedup.drop_lines(docs, line_dedup.index(docs).found())
     return out.select("doc_id", F.col("__tm_kept").alias("text"), "lang", "source", F.length("__tm_kept").cast("long").alias("n_chars"))
 
 

@@ -319,7 +319,7 @@ def test_changed_weight_moves_keys_only_inside_its_subtree(spark):
 def test_line_runs_by_shuffle_and_broadcast_agree(docs):
     index = line_dedup.index(docs)
     assert sum(len(level) for level in index.levels) == 2 and not index.levels[0]  # 8 batches of fanout 4
-    found = index.found(line_dedup.MIN_DOCS)
+    found = index.found()
     a = line_dedup.drop_lines(docs, found)
     b = line_dedup.drop_lines(docs, found, broadcast_keys=0)
     key = lambda df: sorted((repr(r.doc_id), r["__tm_n_lines"], r["__tm_n_dropped"], r["__tm_kept"], r["__tm_sha"], r.kept) for r in df.collect())
@@ -331,7 +331,41 @@ def test_later_batches_are_joined_against_earlier_runs(spark):
     for i in range(5):
         runs.add(spark.createDataFrame([(1, 1, 2), (2, 2, 1 if i == 3 else 0)], "k1 long, k2 long, n_docs long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.found(10).collect()] == [(1, 1)]
+    assert [tuple(r) for r in runs.found().collect()] == [(1, 1)]
+
+
+def test_line_runs_are_reopened_and_settled_keys_are_joined_away(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k1 long, k2 long, n_docs long")
+    runs = line_dedup.LineRuns(spark, path, min_docs=5, fanout=3)
+    assert runs.found().collect() == []
+    runs.add(batch((1, 1, 7), (2, 2, 4), (3, 3, 1)))
+    spark.sql(f"DROP TABLE {runs.levels[0][0]}")  # another session's catalog
+    again = line_dedup.LineRuns(spark, path, min_docs=5, fanout=3)
+    assert again.levels == runs.levels
+    again.add(batch((1, 1, 9), (2, 2, 1), (2, 3, 9)))
+    second = {tuple(r) for r in spark.table(again.levels[0][1]).collect()}
+    assert second == {(2, 2, 1), (2, 3, 9)}  # (1, 1) is settled
+    assert {tuple(r) for r in again.found().collect()} == {(1, 1), (2, 2), (2, 3)}
+    plan = again.runs()[0].join(again.runs()[1].hint("merge"), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    again.add(batch((3, 3, 4)))
+    assert [len(x) for x in again.levels] == [0, 1]
+    last = line_dedup.LineRuns(spark, path, min_docs=5, fanout=3)
+    assert {tuple(r) for r in last.runs()[0].collect()} == {(1, 1, 7), (2, 2, 5), (3, 3, 5), (2, 3, 9)}
+    assert {tuple(r) for r in last.found().collect()} == {(1, 1), (2, 2), (2, 3), (3, 3)}
+    with pytest.raises(ValueError, match="up to 5"):
+        line_dedup.LineRuns(spark, path, min_docs=6)
+
+
+def test_documents_added_later_drop_lines_of_earlier_ones(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    first = spark.createDataFrame([(i, f"own {i}\ncommon line") for i in range(6)], "doc_id long, text string")
+    assert line_dedup.index(first, batches=2, path=path).found().count() == 0
+    later = first.withColumn("doc_id", F.col("doc_id") + 100).withColumn("text", F.concat("text", F.lit("\nmore")))
+    found = line_dedup.index(later, batches=3, path=path).found()
+    for docs, gone in ((first, 1), (later, 1)):
+        assert {r["__tm_n_dropped"] for r in line_dedup.drop_lines(docs, found).collect()} == {gone}
 
 
 # ---- 8 -------------------------------------------------------------------------------------------------------------

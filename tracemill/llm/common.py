@@ -37,29 +37,70 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of this process."""
     path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     _paths.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, in one folder for each value of `by`, and read it back.
+
+    Lineage ends there, and a lost executor costs a reread.
+    """
+    path, write = shared_path(df.sparkSession, name), df.write
+    (write.partitionBy(by) if by else write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _file_system(spark, path)
+    fs.delete(jpath, True)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared folder; None if there is none."""
+    fs, jpath = _file_system(spark, path)
+    if not fs.exists(jpath):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared folder, in place of one of that name once it is whole."""
+    fs, part = _file_system(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    old = _file_system(spark, path)[1]
+    fs.delete(old, False)
+    fs.rename(part, old)
+
+
+def forget_table(spark: SparkSession, name: str) -> None:
+    """The catalog forgets a table at the end of this process; its files stay as long as their folder."""
+    _tables.append((spark, name))
 
 
 def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     """df as a table in the shared folder, bucketed by a key: what is clustered by that key later needn't move."""
     spark = df.sparkSession
     table = f"tracemill_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{shared_dir(spark)}/tracemill/{table}"
+    path = shared_path(spark, table)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    _paths.append((spark, path))
-    _tables.append((spark, table))
+    forget_table(spark, table)
     return spark.table(table)
 
 
 def drop_stage_tables() -> None:
-    """Delete what stage_table and bucketed_table have written in this process; also runs at exit while the session is alive."""
+    """Delete what this process has written in the shared folder; also runs at exit while the session is alive."""
     while _tables:
         spark, table = _tables.pop()
         try:
@@ -69,8 +110,7 @@ def drop_stage_tables() -> None:
     while _paths:
         spark, path = _paths.pop()
         try:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            delete(spark, path)
         except Exception:  # the session may have ended before
             return
 

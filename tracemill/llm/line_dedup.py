@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key hash, documents that hold the key), sorted by hash. Each batch of documents adds its own run
-at level 0; when a level has `fanout` runs they are merged into one of the next level, as in a log-structured merge
-tree, so a key is rewritten once a level. Batches are read against all runs: keys of `min_docs` documents or more are
-looked up and their lines leave (merge-anti-join).
+A run is a table of (key hash, documents that hold the key), bucketed and sorted by hash. Each batch of documents is
+merge-anti-joined with the runs, which puts keys aside that `min_docs` documents are known to hold, and adds the rest as
+its own run at level 0; when a level has `fanout` runs they are merged into one of the next level, as in a
+log-structured merge tree, so a key is rewritten once a level. Runs and their manifest stay in a folder: further batches
+are added to it later, and cost their own size and what they compact. Lines whose keys the runs hold in `min_docs`
+documents or more leave their texts.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased, as 128 bits from two polynomial hashes.
 
@@ -15,6 +17,8 @@ returns its own under the names given; working columns start with `__tm_`.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, ASCII_LOWER, SpanHash, U, batch_of, stage_table, text_slices
+from .common import _SPACE, ASCII_LOWER, SpanHash, U, batch_of, delete, forget_table, read_file, release, shared_path, stage_table, text_slices, write_file
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -80,97 +84,139 @@ def _keys(min_chars: int, batches: int) -> Callable[[Iterator[pa.RecordBatch]],
                 new_doc[1:] |= key["d"][1:] != key["d"][:-1]
                 at = np.flatnonzero(new)
                 yield batch_of(schema, key["b"][at], key["a"][at].view(np.int64), key["k"][at].view(np.int64), np.add.reduceat(new_doc.astype(np.int64), at))
+        release()
 
     return run
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    """Levelled sorted runs in a shared folder, with a manifest: `LineRuns(spark, path)` opens what is there, or starts anew.
+
+    A run is a table of (k1, k2, n_docs), bucketed and sorted by its key, so that a batch is joined with runs where they
+    lie. The manifest is written last: a batch that failed has left the runs as they were, and is added again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.spark, self.path = spark, path or shared_path(spark, "line-runs")
+        self.min_docs, self.fanout, self.levels = min_docs, fanout, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held = read_file(spark, f"{self.path}/manifest.json")
+        if held is not None:
+            was = json.loads(held)
+            if was["min_docs"] != min_docs:
+                raise ValueError(f"these runs count keys up to {was['min_docs']} documents")
+            self.buckets, self.levels = was["buckets"], was["levels"]
+            for name in (n for level in self.levels for n in level):
+                clause = f"CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS"
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (k1 BIGINT, k2 BIGINT, n_docs BIGINT) USING parquet {clause} LOCATION '{self.path}/{name}'")
+                forget_table(spark, name)
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The sums of several runs. They are read as plain files: the columnar union of bucketed scans in Spark 4.1 passes for dealt by key, and isn't."""
+        return self._sum([self.spark.read.schema("k1 long, k2 long, n_docs long").parquet(f"{self.path}/{n}") for n in names])
+
+    def _write(self, keys: DataFrame) -> str:
+        name = f"tracemill_lines_{uuid.uuid4().hex}"
+        forget_table(self.spark, name)
+        keys.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        return name
 
     @staticmethod
-    def _merge(runs: list[DataFrame], name: str) -> DataFrame:
+    def _sum(runs: list[DataFrame]) -> DataFrame:
         both = runs[0]
         for r in runs[1:]:
             both = both.unionByName(r)
-        return stage_table(both.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs")), name, sort=["k1", "k2"])
+        return both.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"))
 
     def add(self, keys: DataFrame) -> None:
-        """Add one batch's (k1, k2, n_docs) as a run; compact full levels upwards."""
-        level, run = 0, self._merge([keys], "lines-run0")
+        """Merge-anti-join a batch's (k1, k2, n_docs) with the runs, add what is left as a run, and compact full levels upwards.
+
+        Keys that a run already holds in min_docs documents are settled: counting them on would change nothing.
+        """
+        fresh = self._sum([keys])
+        for run in self.runs():
+            fresh = fresh.join(run.filter(F.col("n_docs") >= self.min_docs).select("k1", "k2").hint("merge"), ["k1", "k2"], "left_anti")
+        levels, level, name, old = [list(x) for x in self.levels], 0, self._write(fresh), []
         while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
-                return
-            run, self.levels[level] = self._merge(self.levels[level], f"lines-run{level + 1}"), []
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(name)
+            if len(levels[level]) < self.fanout:
+                break
+            old += levels[level]
+            name, levels[level] = self._write(self._merged(levels[level])), []
             level += 1
+        write_file(self.spark, f"{self.path}/manifest.json", json.dumps({"buckets": self.buckets, "min_docs": self.min_docs, "levels": levels}))
+        self.levels = levels
+        for n in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            delete(self.spark, f"{self.path}/{n}")
 
-    def found(self, min_docs: int) -> DataFrame:
+    def found(self) -> DataFrame:
         """Keys that all runs together hold in min_docs documents or more."""
-        runs = [r for level in self.levels for r in level]
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select("k1", "k2")
-
-
-def _drop(found: np.ndarray, min_chars: int, schema: pa.Schema) -> Callable:
-    """Adds n_lines, n_dropped and kept text to each batch; found: sorted (k1, k2) of the lines to drop."""
-
-    def run(it):
-        lines, first = _Lines(), found["k1"]
-        for batch in it:
-            n_lines, n_dropped, kept = [], [], []
-            for i, j, data, offsets in text_slices(batch, "__tm_text"):
-                starts, ends, doc, counts, ka, kb, has = lines(data, offsets, min_chars)
-                ka, kb = ka.view(np.int64), kb.view(np.int64)
-                at = np.searchsorted(first, ka)
-                drop = np.zeros(len(starts), bool)
-                todo = has & (at < len(first))
-                while todo.any():  # k1 may repeat with another k2
-                    todo &= first[np.minimum(at, len(first) - 1)] == ka
-                    hit = todo & (found["k2"][np.minimum(at, len(first) - 1)] == kb)
-                    drop |= hit
-                    todo &= ~hit
-                    at = at + 1
-                    todo &= at < len(first)
-                n_lines.append(counts)
-                n_dropped.append(np.bincount(doc[drop], minlength=j - i))
-                raw, bounds = data.tobytes(), np.concatenate([[0], np.cumsum(counts)])
-                for d in range(j - i):
-                    a, b = bounds[d], bounds[d + 1]
-                    if n_dropped[-1][d]:
-                        kept.append(b"\n".join(raw[starts[x] : ends[x]] for x in range(a, b) if not drop[x]))
-                    else:
-                        kept.append(raw[offsets[d] : offsets[d + 1]])
-            cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__tm_text"]
-            nl = np.concatenate(n_lines) if n_lines else np.zeros(0, np.int64)
-            nd = np.concatenate(n_dropped) if n_dropped else np.zeros(0, np.int64)
-            text = pa.array(kept, pa.binary()).cast(pa.string())
-            sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(nl, pa.int64()), pa.array(nd, pa.int64()), text, sha], names=[*[n for n in batch.schema.names if n != "__tm_text"], "__tm_n_lines", "__tm_n_dropped", "__tm_kept", "__tm_sha"])
-
-    return run
+        names = [n for level in self.levels for n in level]
+        if not names:
+            return self.spark.createDataFrame([], "k1 long, k2 long")
+        return self._merged(names).filter(F.col("n_docs") >= self.min_docs).select("k1", "k2")
+
+
+def _without(lines: _Lines, batch: pa.RecordBatch, found: np.ndarray, min_chars: int) -> pa.RecordBatch:
+    """The batch without __tm_text, with n_lines, n_dropped, kept text and its sha256; found: sorted (k1, k2) of the lines to drop."""
+    n_lines, n_dropped, kept, first = [], [], [], found["k1"]
+    for i, j, data, offsets in text_slices(batch, "__tm_text"):
+        starts, ends, doc, counts, ka, kb, has = lines(data, offsets, min_chars)
+        ka, kb = ka.view(np.int64), kb.view(np.int64)
+        at = np.searchsorted(first, ka)
+        drop = np.zeros(len(starts), bool)
+        todo = has & (at < len(first))
+        while todo.any():  # k1 may repeat with another k2
+            todo &= first[np.minimum(at, len(first) - 1)] == ka
+            hit = todo & (found["k2"][np.minimum(at, len(first) - 1)] == kb)
+            drop |= hit
+            todo &= ~hit
+            at = at + 1
+            todo &= at < len(first)
+        n_lines.append(counts)
+        n_dropped.append(np.bincount(doc[drop], minlength=j - i))
+        raw, bounds = data.tobytes(), np.concatenate([[0], np.cumsum(counts)])
+        for d in range(j - i):
+            a, b = bounds[d], bounds[d + 1]
+            if n_dropped[-1][d]:
+                kept.append(b"\n".join(raw[starts[x] : ends[x]] for x in range(a, b) if not drop[x]))
+            else:
+                kept.append(raw[offsets[d] : offsets[d + 1]])
+    cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__tm_text"]
+    nl = np.concatenate(n_lines) if n_lines else np.zeros(0, np.int64)
+    nd = np.concatenate(n_dropped) if n_dropped else np.zeros(0, np.int64)
+    text = pa.array(kept, pa.binary()).cast(pa.string())
+    sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+    return pa.RecordBatch.from_arrays([*cols, pa.array(nl, pa.int64()), pa.array(nd, pa.int64()), text, sha], names=[*[n for n in batch.schema.names if n != "__tm_text"], "__tm_n_lines", "__tm_n_dropped", "__tm_kept", "__tm_sha"])
+
+
+def line_keys(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, batches: int = 1) -> DataFrame:
+    """(batch, k1, k2, n_docs) of documents, dealt to `batches` batches by a hash of the text."""
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"))
+    return rows.mapInArrow(_keys(min_chars, batches), "batch int, k1 long, k2 long, n_docs long")
 
 
-def index(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES) -> LineRuns:
-    """Runs over all documents, added in `batches` batches by a hash of the text."""
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"))
-    keys = rows.mapInArrow(_keys(min_chars, batches), "batch int, k1 long, k2 long, n_docs long")
-    summed = keys.groupBy("batch", "k1", "k2").agg(F.sum("n_docs").alias("n_docs"))
-    summed = stage_table(summed, "lines-keys", sort=["batch", "k1", "k2"])
-    runs = LineRuns(docs.sparkSession)
+def index(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, path: str | None = None, min_docs: int = MIN_DOCS) -> LineRuns:
+    """Runs (those at `path`, if any) after all documents are added, in `batches` batches; texts are read once."""
+    runs = LineRuns(docs.sparkSession, path, min_docs)
+    keys = stage_table(line_keys(docs, text, min_chars, batches), "lines-keys", by="batch")
     for b in range(batches):
-        runs.add(summed.filter(F.col("batch") == b).drop("batch"))
+        runs.add(keys.filter(F.col("batch") == b).drop("batch"))
     return runs
 
 
 def drop_lines(docs: DataFrame, found: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """docs with __tm_n_lines, __tm_n_dropped, __tm_kept (text) and __tm_sha (its sha256); `found` has the keys to drop."""
+    """docs with __tm_n_lines, __tm_n_dropped, __tm_kept (text) and __tm_sha (its sha256); `found` has the keys to drop.
+
+    Up to `broadcast_keys` found keys are held by each task as a sorted array. Beyond, the texts' line keys are sorted
+    and merged with them, and each text gets the keys it holds.
+    """
     spark = docs.sparkSession
     found = stage_table(found, "lines-found")
     n = found.count()
@@ -179,18 +225,24 @@ def drop_lines(docs: DataFrame, found: DataFrame, text: str = "text", min_chars:
     if n > broadcast_keys:
         return _drop_by_shuffle(df, found, out, min_chars)
     keys = found.toArrow()
-    table = np.zeros(n, [("k1", np.int64), ("k2", np.int64)])
+    table = np.zeros(n, _KEY)
     table["k1"], table["k2"] = keys["k1"].to_numpy(), keys["k2"].to_numpy()
     table.sort(order=["k1", "k2"])
     held = spark.sparkContext.broadcast(table)
 
     def run(it):
-        yield from _drop(held.value, min_chars, None)(it)
+        lines = _Lines()
+        for batch in it:
+            yield _without(lines, batch, held.value, min_chars)
+        release()
 
     return df.mapInArrow(run, out)
 
 
-def _line_keys(min_chars: int) -> Callable:
+_KEY = np.dtype([("k1", np.int64), ("k2", np.int64)])
+
+
+def _keys_of_texts(min_chars: int) -> Callable:
     def run(it):
         lines = _Lines()
         schema = pa.schema([("id", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())])
@@ -205,27 +257,28 @@ def _line_keys(min_chars: int) -> Callable:
 
 
 def _drop_by_shuffle(df: DataFrame, found: DataFrame, out: T.StructType, min_chars: int) -> DataFrame:
-    """For more keys than a task may hold: each text's own found keys are joined to it, and only those."""
+    """For more keys than a task may hold. A text that many rows hold has its keys once; its rows are split by the adaptive planner."""
     rows = df.withColumn("__tm_id", F.sha2(F.coalesce("__tm_text", F.lit("")), 256))
-    own = rows.select("__tm_id", "__tm_text").mapInArrow(_line_keys(min_chars), "id string, k1 long, k2 long").distinct()
-    own = own.join(found, ["k1", "k2"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("__tm_keys"))
+    own = rows.select("__tm_id", "__tm_text").mapInArrow(_keys_of_texts(min_chars), "id string, k1 long, k2 long").distinct()
+    own = own.join(found.hint("merge"), ["k1", "k2"], "left_semi").groupBy("id").agg(F.collect_list("k1").alias("__tm_k1"), F.collect_list("k2").alias("__tm_k2"))
     rows = rows.join(own, rows["__tm_id"] == own["id"], "left").drop("id", "__tm_id")
 
     def run(it):
+        lines = _Lines()
         for batch in it:
-            keys = batch.column(batch.schema.get_field_index("__tm_keys"))
-            rest = batch.drop_columns(["__tm_keys"])
-            for r in range(batch.num_rows):
-                own = keys[r].as_py() or []
-                table = np.array(sorted((k["k1"], k["k2"]) for k in own), [("k1", np.int64), ("k2", np.int64)])
-                yield from _drop(table, min_chars, None)(iter([rest.slice(r, 1)]))
+            # what one text of the batch loses, all others lose too
+            k1, k2 = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy() for c in ("__tm_k1", "__tm_k2"))
+            table = np.zeros(len(k1), _KEY)
+            table["k1"], table["k2"] = k1, k2
+            yield _without(lines, batch.drop_columns(["__tm_k1", "__tm_k2"]), np.unique(table), min_chars)
+        release()
 
     return rows.mapInArrow(run, out)
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    out = drop_lines(docs, index(docs).found(MIN_DOCS))
+    out = drop_lines(docs, index(docs).found())
     return out.select("doc_id", F.col("__tm_n_lines").alias("n_lines"), F.col("__tm_n_dropped").alias("n_dropped"), F.col("__tm_sha").alias("kept_sha256"))
 
 
