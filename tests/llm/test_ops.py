@@ -176,6 +176,52 @@ def test_low_similarity_is_refused(docs):
         minhash.near_duplicates(docs, percent=50)
 
 
+def words_of_sets(rng, *sets):
+    return [" ".join(f"w{x}" for x in rng.permutation(list(c))) for c in sets]
+
+
+def test_minhash_recall_just_above_the_bound(spark):
+    """600 pairs with similarities between 0.80 and 0.85, each of its own words: every one is found, and none below 0.8."""
+    rng, texts, at = np.random.default_rng(12), [], 0
+    for i in range(600):
+        n = int(rng.integers(20, 400))
+        common = math.ceil(n * 1.6 / 1.8) if i % 2 else math.floor(n * 1.7 / 1.85)
+        ids = np.arange(at, at + 2 * n - common)
+        at += len(ids)
+        texts += words_of_sets(rng, ids[:n], ids[n - common :])
+    far = words_of_sets(rng, range(at, at + 100), range(at + 12, at + 112))  # 88 of 112
+    df = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(600)) == 600
+    assert got[1200] != got[1201]
+
+
+def test_minhash_sketches_estimate_similarity(spark):
+    rng = np.random.default_rng(13)
+    sets = [(range(0, 300), range(d, 300 + d)) for d in (0, 5, 15, 33, 60, 100)]
+    texts = [t for pair in sets for t in words_of_sets(rng, *pair)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    found = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").select("doc_id", "sketch")
+    a, b = found.select((F.col("doc_id") + 1).alias("d"), F.col("sketch").alias("sa")), found.select(F.col("doc_id").alias("d"), F.col("sketch").alias("sb"))
+    said = {r.d // 2: r.e for r in a.join(b, "d").filter("d % 2 = 1").select("d", minhash.estimate(minhash._xor_bits("sa", "sb")).alias("e")).collect()}
+    for i, d in enumerate((0, 5, 15, 33, 60, 100)):
+        assert abs(said[i] - (300 - d) / (300 + d)) < 0.12, (i, said[i])
+    assert said[0] == 1 and minhash.allowed_bits(100) == 0
+
+
+def test_minhash_big_buckets_are_split(spark, monkeypatch):
+    """Unlike members of common buckets, and a few true links among them: as brute force has it."""
+    rng = np.random.default_rng(14)
+    base = list(range(80))
+    texts = [words_of_sets(rng, base + list(range(100 + 30 * i, 130 + 30 * i)))[0] for i in range(60)]
+    texts += [" ".join([*t.split()[1:], "extra"]) for t in texts[10:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i if i < 60 else i - 50 for i in range(70)}
+    for big in (2_000, 3):
+        monkeypatch.setattr(minhash, "BIG", big)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()} == want
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------------
 
 
