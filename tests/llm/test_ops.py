@@ -197,16 +197,21 @@ def test_minhash_recall_just_above_the_bound(spark):
 
 
 def test_minhash_sketches_estimate_similarity(spark):
-    rng = np.random.default_rng(13)
-    sets = [(range(0, 300), range(d, 300 + d)) for d in (0, 5, 15, 33, 60, 100)]
-    texts = [t for pair in sets for t in words_of_sets(rng, *pair)]
+    """Sizes from 30 to 20,000; links at the bound are never put aside, and half as similar ones of up to 4,000 always are."""
+    rng, pairs = np.random.default_rng(13), []
+    for n in (30, 300, 4000, 20_000):
+        pairs += [(n, d) for share in (0, 0.02, 0.1, 1 / 9, 0.2, 0.43) for d in [int(n * share)]]
+    texts = [t for n, d in pairs for t in words_of_sets(rng, range(n), range(d, n + d))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
-    found = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").select("doc_id", "sketch")
-    a, b = found.select((F.col("doc_id") + 1).alias("d"), F.col("sketch").alias("sa")), found.select(F.col("doc_id").alias("d"), F.col("sketch").alias("sb"))
-    said = {r.d // 2: r.e for r in a.join(b, "d").filter("d % 2 = 1").select("d", minhash.estimate(minhash._xor_bits("sa", "sb")).alias("e")).collect()}
-    for i, d in enumerate((0, 5, 15, 33, 60, 100)):
-        assert abs(said[i] - (300 - d) / (300 + d)) < 0.12, (i, said[i])
-    assert said[0] == 1 and minhash.allowed_bits(100) == 0
+    found = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").select("doc_id", "n", "sketch", minhash.most_bits(F.col("n"), F.col("n") * 1.25, 80).alias("most"))
+    a = found.select((F.col("doc_id") + 1).alias("d"), F.col("n").alias("na"), F.col("most").alias("la"), F.col("sketch").alias("sa"))
+    both = a.join(found.select(F.col("doc_id").alias("d"), F.col("n").alias("nb"), F.col("most").alias("lb"), F.col("sketch").alias("sb")), "d").filter("d % 2 = 1")
+    said = {r.d // 2: r for r in both.select("d", minhash.estimate(minhash._xor_bits("sa", "sb"), F.col("na"), F.col("nb")).alias("e"), minhash._possible(80).alias("p")).collect()}
+    for i, (n, d) in enumerate(pairs):
+        true = (n - d) / (n + d)
+        assert said[i].p or true < 0.8, (n, d)
+        assert not said[i].p or true > 0.5 or n > 4000, (n, d)
+        assert true < 0.8 or abs(said[i].e - true) < 0.1, (n, d, said[i].e)
 
 
 def test_minhash_big_buckets_are_split(spark, monkeypatch):
