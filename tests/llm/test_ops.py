@@ -203,7 +203,7 @@ def test_minhash_sketches_estimate_similarity(spark):
         pairs += [(n, d) for share in (0, 0.02, 0.1, 1 / 9, 0.2, 0.43) for d in [int(n * share)]]
     texts = [t for n, d in pairs for t in words_of_sets(rng, range(n), range(d, n + d))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
-    found = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").select("doc_id", "n", "sketch", minhash.most_bits(F.col("n"), F.col("n") * 1.25, 80).alias("most"))
+    found = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").select("doc_id", "n", "sketch", minhash.most_bits(F.col("n"), 80).alias("most"))
     a = found.select((F.col("doc_id") + 1).alias("d"), F.col("n").alias("na"), F.col("most").alias("la"), F.col("sketch").alias("sa"))
     both = a.join(found.select(F.col("doc_id").alias("d"), F.col("n").alias("nb"), F.col("most").alias("lb"), F.col("sketch").alias("sb")), "d").filter("d % 2 = 1")
     said = {r.d // 2: r for r in both.select("d", minhash.estimate(minhash._xor_bits("sa", "sb"), F.col("na"), F.col("nb")).alias("e"), minhash._possible(80).alias("p")).collect()}
