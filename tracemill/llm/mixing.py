@@ -148,14 +148,20 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share doc_id, size and source are told apart by a hash of their text.
     """
-    took = taken(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").select("doc_id", "source", "size", "taken", "start")
-    took = _numbered(took, "start").select(*[F.col(c).alias(f"__t_{c}") for c in ("doc_id", "source", "size", "__no")], F.col("taken").alias("__taken"))
+    key = ["doc_id", "source", "size"]
+    took = stage_table(taken(docs.select("doc_id", "text", "source"), **options).select(*key, "taken", "start"), "mix-taken")
+    told = took.groupBy(*[F.col(c).alias(f"__t_{c}") for c in key]).agg(F.count(F.lit(1)).alias("__rows"), F.max("taken").alias("__taken")).filter("__taken > 0")
     packed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(text_or_empty(F.col("text")))).cast("long").alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("__in"))
-    rows = _numbered(packed, F.xxhash64("__in.text"))
-    match = rows["size"] == took["__t_size"]
-    for c in ("doc_id", "source"):
-        match = match & rows[c].eqNullSafe(took[f"__t_{c}"])
-    rows = rows.join(took, match & (rows["__no"] == took["__t___no"]))
+
+    def match(df: DataFrame):
+        return (df["size"] == F.col("__t_size")) & df["doc_id"].eqNullSafe(F.col("__t_doc_id")) & df["source"].eqNullSafe(F.col("__t_source"))
+
+    # the texts are dealt once: nearly all rows have a key of their own, and are done; the others are numbered
+    both = packed.join(told, match(packed))
+    several = _numbered(both.filter("__rows > 1").select(*key, "__in"), F.xxhash64("__in.text"))
+    each = _numbered(took, "start").filter("taken > 0").select(*[F.col(c).alias(f"__t_{c}") for c in key], F.col("__no").alias("__t_no"), F.col("taken").alias("__taken"))
+    several = several.join(each, match(several) & (F.col("__no") == F.col("__t_no")))
+    rows = both.filter("__rows = 1").select("size", "__in", "__taken").unionByName(several.select("size", "__in", "__taken"))
     rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("size")).cast("int") - 1)))
     left = F.least(F.col("size"), F.col("__taken") - F.col("__round") * F.col("size"))
     text = F.col("__in.text")
