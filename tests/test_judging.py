@@ -75,3 +75,13 @@ def test_requests_complete_short_judgments(spark):
 
 def test_empty_judgments(spark):
     assert judging.check_judges(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_numbers_over_ranges_are_dense_and_ordered(spark):
+    from tracemill.operators.numbering import numbered
+
+    df = spark.range(500).selectExpr("CASE WHEN id % 50 = 7 THEN NULL ELSE (id * 37) % 400 END AS pos", "id AS index0").repartition(5)
+    got = sorted(((r["index"], r.pos) for r in numbered(df, "pos").collect()), key=lambda x: x[0])
+    assert [i for i, _ in got] == list(range(500))
+    assert [p for _, p in got] == sorted((p for _, p in got), key=lambda p: -1 if p is None else p)
+    assert numbered(df.limit(0), "pos").collect() == []

@@ -51,3 +51,8 @@ def promptfoo_prompt(prompt: Column) -> Column:
     raw = F.transform(F.split(prompt, names, -1), lambda p: F.when(p == "", "").otherwise(F.concat(F.lit("{% raw %}"), p, F.lit("{% endraw %}"))))
     variables = F.transform(F.regexp_extract_all(prompt, F.lit(names), F.lit(1)), lambda v: F.concat(F.lit("{{ "), v, F.lit(" }}")))
     return F.array_join(F.zip_with(raw, F.concat(variables, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
+
+
+def prompt_hash(prompt: Column) -> Column:
+    """The first 12 hexadecimal digits of a prompt's sha256, which tell judges' prompts apart in a run's files; null for null."""
+    return F.substring(F.sha2(prompt.cast("string"), 256), 1, 12)

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import prompts
 from ..functions.text import context_text
+from .numbering import numbered
 
 PROBES = ("swap", "pad")
 
@@ -42,9 +42,9 @@ def build_requests(cases: DataFrame, judges: DataFrame, criteria: DataFrame, tri
     if bad := set(probes) - set(PROBES):
         raise ValueError(f"unknown probe {sorted(bad)}; expected {PROBES}")
     plan = F.array(*[F.struct(F.lit(p).alias("probe"), F.lit(t).alias("n")) for p, t in [("none", trials), *[(p, probe_trials) for p in probes]]])
-    numbered = with_criteria(cases, criteria).withColumn("index", F.row_number().over(Window.orderBy("pos")) - 1) if "index" not in cases.columns else with_criteria(cases, criteria)
+    indexed = with_criteria(cases if "index" in cases.columns else numbered(cases, "pos"), criteria)
     j = judges.select(F.col("id").alias("judge"), F.coalesce("mode", F.lit("pointwise")).alias("mode"), "labels", "prompt")
-    df = numbered.crossJoin(F.broadcast(j)).filter("mode != 'pairwise' OR coalesce(compare_output, '') != ''")
+    df = indexed.crossJoin(F.broadcast(j)).filter("mode != 'pairwise' OR coalesce(compare_output, '') != ''")
     df = df.withColumn("p", F.explode(plan)).filter("p.probe != 'swap' OR mode = 'pairwise'")
     side = F.when(F.col("p.probe") == "pad", F.when(F.col("mode") == "pointwise", "output").when(F.col("index") % 2 == 0, "A").otherwise("B"))
     df = df.withColumn("pad_side", side).withColumn("trial", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)))

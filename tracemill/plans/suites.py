@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions.prompts import PAD_TEXT
 from ..operators import judging, labelling, planning, suites
 from ..sinks import exports
@@ -36,6 +37,12 @@ def plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("request_id", "probe", "trial", "pad_side", F.array_join("criteria", ",").alias("criteria"), F.md5("prompt").alias("prompt_md5"))
 
 
+def prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts stand for judges' prompts."""
+    df = run_sql(spark, sf_dir, "SELECT item_id, text FROM @benchmark@")
+    return df.select("item_id", prompts.prompt_hash(F.col("text")).alias("prompt_hash"))
+
+
 def plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = _cases(spark, sf_dir).filter("status = 'ready'")
     df = planning.build_requests(ready, _judges(spark), _criteria(spark), 5, ("swap", "pad"), 3)
@@ -136,7 +143,7 @@ def draft_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suites.draft_cases(t, picks, old).select("id", "trace_id", F.array_join("tags", ",").alias("tags"), "observed_failure", F.size("context").alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (plan_requests, plan_counts, resume_anti, control_judges, run_log, label_upsert, import_reject, uncertain_pick, label_spread, balanced_head, validate_errors, rubric_errors, status_counts, criteria_join, case_modes, export_cases, grader_pick, csv_sheet, draft_cases)}
+QUERIES = {f.__name__: f for f in (plan_requests, prompt_hash, plan_counts, resume_anti, control_judges, run_log, label_upsert, import_reject, uncertain_pick, label_spread, balanced_head, validate_errors, rubric_errors, status_counts, criteria_join, case_modes, export_cases, grader_pick, csv_sheet, draft_cases)}
 
 # ---- DuckDB --------------------------------------------------------------------------------------------------------
 
@@ -149,6 +156,7 @@ _PL = """pl AS (SELECT cs.*, jj.judge, jj.mode, p.probe, t.trial, CASE WHEN prob
   WHERE status = 'ready' AND trial < n AND (mode <> 'pairwise' OR coalesce(compare_output, '') <> '') AND (probe <> 'swap' OR mode = 'pairwise'))"""
 _PADDED = f"chr(10) || chr(10) || '{PAD_TEXT}'"
 ORACLE = {
+    "prompt_hash": "SELECT item_id, substring(sha256(text), 1, 12) AS prompt_hash FROM benchmark",
     "plan_requests": f"""WITH {_C}, {_JJ}, {_PL}, s AS (SELECT *, observed_output || CASE WHEN probe = 'pad' AND pad_side IN ('A', 'output') THEN {_PADDED} ELSE '' END AS a,
   CASE WHEN probe = 'pad' AND pad_side = 'B' THEN rtrim(compare_output) || {_PADDED} ELSE compare_output END AS b FROM pl),
   w AS (SELECT *, 'Q: ' || input || ' A: ' || CASE WHEN mode = 'pairwise' THEN CASE WHEN probe = 'swap' THEN b ELSE a END ELSE '{{answer_a}}' END || ' B: ' ||

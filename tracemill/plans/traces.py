@@ -66,7 +66,7 @@ def dup_id_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = run_sql(spark, sf_dir, "SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN ' ' ELSE substr(coalesce(text, ''), 1, 50) END AS input, CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'x' END AS output FROM @documents@")
+    df = run_sql(spark, sf_dir, "SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN ' ' ELSE coalesce(text, '') END AS input, CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'x' END AS output FROM @documents@")
     return df.withColumn("reason", traces.skip_reason(F.col("input"), F.col("output"))).filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("skipped"))
 
 
@@ -148,7 +148,7 @@ ORACLE = {
   SELECT 'traces' AS metric, '' AS value, count(*) AS count FROM t UNION ALL SELECT 'with_error', '', count(*) FILTER (error) FROM t
   UNION ALL SELECT 'feedback', coalesce(feedback, 'none'), count(*) FROM t GROUP BY 2 UNION ALL SELECT 'route', value, count FROM r""",
     "dup_id_suffix": "SELECT event_id AS pos, CASE WHEN n > 1 THEN id || '~' || n ELSE id END AS id FROM (SELECT event_id, user_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)",
-    "skip_accounting": """WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN ' ' ELSE substr(coalesce(text, ''), 1, 50) END AS input, CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'x' END AS output FROM documents)
+    "skip_accounting": """WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN ' ' ELSE coalesce(text, '') END AS input, CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'x' END AS output FROM documents)
   SELECT source, CASE WHEN trim(output) = '' THEN 'empty input and output' ELSE 'no user message' END AS reason, count(*) AS skipped FROM d WHERE trim(input, ' ' || chr(9) || chr(10) || chr(13)) = '' GROUP BY ALL""",
     "strata_histogram": f"""WITH {_U}, {_F} SELECT field, value, count, CASE WHEN nv > 20 THEN nv || ' distinct values (limit 20)' WHEN nv = 1 AND field <> 'lang' THEN 'one value' END AS skipped FROM (SELECT *, count(*) OVER (PARTITION BY field) AS nv FROM v)""",
     "failure_budget": f"WITH {_U} SELECT count(*) AS \"unique\", count(*) FILTER (failure) AS failures, least(count(*) FILTER (failure), {N}, greatest(ceil(0.3 * {N})::BIGINT, round_even((count(*) FILTER (failure))::DOUBLE / greatest(count(*), 1) * {N}, 0)::BIGINT))::BIGINT AS budget FROM u",
