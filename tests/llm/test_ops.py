@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -435,6 +436,29 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_batches_score_as_single_texts(monkeypatch):
+    texts = ["ab", "", "é" * 50, "The quick  brown fox\n", "x"]
+    want = []
+    for t in texts:
+        c = f" {' '.join(t.lower().split())} "
+        want.append(Counter(c[i : i + n] for n in language_id.ORDERS for i in range(len(c) - n + 1)))
+    for part in (1 << 18, 7, 3):
+        monkeypatch.setattr(language_id, "PART", part)
+        rows, bins = (np.concatenate(x) for x in zip(*language_id.sparse(texts), strict=True))
+        for i in range(len(texts)):
+            assert sorted(Counter(bins[rows == i].tolist()).values()) == sorted(want[i].values())
+
+
+def test_language_of_documents_held_out(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    docs = spark.read.parquet(path)
+    got = language_id.op8_language_id(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL AND lang_pred != 'und'")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert n > 100 and right >= 0.99 * n
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 Training counts the 1- to 3-grams of labelled texts, lower-cased, hashed into BINS bins, for each language, a text's
 own count c as log2(1 + c), so that one long or repetitive text doesn't stand for its language; the matrix
-of log probabilities is broadcast (languages x BINS doubles) and texts are scored in sparse batches: the sum of the
-matrix's columns at a text's n-grams. The prior is the languages' share of the labelled rows.
+of log probabilities is broadcast (languages x BINS doubles) and texts are scored in batches: a sparse matrix of their
+n-grams, one entry each, times the model's. The prior is the languages' share of the labelled rows.
 
 The model learns from at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id; every row is predicted from its
 text alone. `score` is the posterior of the predicted language with the likelihood tempered to that of TEMPER n-grams, as
@@ -36,18 +36,38 @@ SCALE = 16
 _LETTER = regex.compile(r"\p{L}")
 
 
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Bins of the n-grams of a text, in parts of at most PART characters; a space before and after it."""
-    codes = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    for i in range(0, len(codes), PART):
-        c = codes[i : i + PART + max(ORDERS) - 1]
-        found = []
-        h = np.zeros(len(c), U)
-        for n in range(1, max(ORDERS) + 1):
-            h = h[: len(c) - n + 1] * U(0x100000001B3) + c[n - 1 :]
-            if n in ORDERS:
-                found.append(mix(h[: min(len(h), PART)] * U(8) + U(n)) >> U(64 - 16))
-        yield np.concatenate(found).astype(np.int64)
+def sparse(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, bins), one entry for each n-gram of the texts, in parts of about PART characters: a sparse matrix of ones.
+
+    rows are numbers of texts and rise within a part. A text has a space before and after it. A longer one than PART is
+    cut into pieces that overlap, of which an n-gram belongs to the piece that it starts in.
+    """
+    pieces: list[tuple[int, np.ndarray, int]] = []
+    held = 0
+    for row, text in enumerate(texts):
+        codes = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        for i in range(0, len(codes), PART):
+            pieces.append((row, codes[i : i + PART + max(ORDERS) - 1], PART))
+            held += len(pieces[-1][1])
+            if held >= PART:
+                yield from _entries(pieces)
+                pieces, held = [], 0
+    if pieces:
+        yield from _entries(pieces)
+
+
+def _entries(pieces: list[tuple[int, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    c = np.concatenate([x for _, x, _ in pieces])
+    sizes = np.array([len(x) for _, x, _ in pieces])
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    row = np.array([r for r, _, _ in pieces])[piece]
+    starts_here = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.array([n for _, _, n in pieces])[piece]
+    h = np.zeros(len(c), U)
+    for n in range(1, min(max(ORDERS), len(c)) + 1):
+        h = h[: len(c) - n + 1] * U(0x100000001B3) + c[n - 1 :]
+        if n in ORDERS:
+            inside = (piece[: len(h)] == piece[n - 1 :]) & starts_here[: len(h)]
+            yield row[: len(h)][inside], (mix(h[inside] * U(8) + U(n)) >> U(64 - 16)).astype(np.int64)
 
 
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +78,7 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             row = by.setdefault(lang, np.zeros(BINS + 1, np.int64))
             row[BINS] += 1
-            own = sum(np.bincount(g, minlength=BINS) for g in grams(text.as_py()))
+            own = sum(np.bincount(bins, minlength=BINS) for _, bins in sparse([text.as_py()]))
             row[:BINS] += np.rint(SCALE * np.log2(1 + own)).astype(np.int64)
     for lang, row in by.items():
         at = np.flatnonzero(row)
@@ -91,22 +111,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log, prior = held.value
         for batch in it:
-            found, scores = [], []
-            for t in batch.column(at):
-                text = t.as_py()
-                if not langs or text is None or not _LETTER.search(text):
-                    found.append("und")
-                    scores.append(0.0)
-                    continue
-                total, n = np.zeros(len(langs)), 0
-                for g in grams(text):
-                    total += np.take(log, g, axis=0).sum(0, dtype=np.float64)
-                    n += len(g)
-                best = total + prior
-                soft = prior + total * min(1.0, TEMPER / n)
-                i = int(np.argmax(best))
-                found.append(langs[i])
-                scores.append(float(1 / np.exp(soft - soft[i]).sum()))
+            texts = batch.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
+            total, n = np.zeros((len(known), len(langs))), np.zeros(len(known), np.int64)
+            for rows, bins in sparse([texts[i] for i in known]):
+                if len(rows):  # the sparse matrix times the model's: sums of its rows at each text's n-grams
+                    first = np.flatnonzero(np.diff(rows, prepend=-1))
+                    total[rows[first]] += np.add.reduceat(np.take(log, bins, axis=0), first, axis=0, dtype=np.float64)
+                    n[rows[first]] += np.diff(first, append=len(rows))
+            best = np.argmax(total + prior, axis=1) if known else np.zeros(0, np.int64)
+            soft = prior + total * np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
+            sure = 1 / np.exp(soft - soft[np.arange(len(known)), best][:, None]).sum(1)
+            found, scores = ["und"] * len(texts), [0.0] * len(texts)
+            for i, k, p in zip(known, best.tolist(), sure.tolist(), strict=True):
+                found[i], scores[i] = langs[k], p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return docs.mapInArrow(run, T.StructType(fields))
