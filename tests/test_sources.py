@@ -102,3 +102,32 @@ def test_files_detection_and_fingerprints(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("{oops")
     with pytest.raises(Exception, match="not valid JSON"):
         records.load_records(spark, str(tmp_path)).collect()
+
+
+def test_text_of_any_depth(spark):
+    """Text nested far below what the expressions look through is kept in every format; texts with brackets and quotes stay as they are."""
+    deep = 'say "]}[{ \\ here'
+
+    def nest(n):
+        v = [deep]
+        for _ in range(n):
+            v = [{"type": "text", "text": {"value": [v, ""]}}, {"type": "image_url", "image_url": "u"}]
+        return v
+
+    qs = [nest(n) for n in (0, 1, 2, 5, 40)]
+    r = rows(spark, [{"id": "o", "messages": [{"role": "user", "content": q}], "response": {"choices": [{"message": {"role": "assistant", "content": q}}]}} for q in qs], "openai")
+    assert [(x.input, x.output, x.skip_reason) for x in r.values()] == [(deep, deep, None)] * 5
+    said = lambda q: [{"type": "tool_result", "content": q}, {"type": "tool_use", "name": "calc", "input": {"text": [[1]]}}]
+    r = rows(spark, [{"id": "a", "request": {"system": q, "messages": [{"role": "user", "content": q}]}, "response": {"type": "message", "content": said(q), "stop_reason": "x"}} for q in qs], "anthropic")
+    assert [(x.input, x.output, x.system, x.tools) for x in r.values()] == [(deep, deep, deep, ["calc"])] * 5
+    r = rows(spark, [{"id": "l", "input": None, "output": None, "observations": [{"type": "GENERATION", "startTime": "1", "input": q, "output": {"choices": [{"message": {"content": q}}]}}]} for q in qs], "langfuse")
+    assert [(x.input, x.output) for x in r.values()] == [(deep, deep)] * 5
+    r = rows(spark, [{"id": "g", "prompt": q, "answer": [{"role": "assistant", "content": q}], "metadata": {"k": [[[[1]]]]}} for q in qs], "generic")
+    assert [(x.input, x.output) for x in r.values()] == [(deep, deep)] * 5
+    spans = []
+    for i, q in enumerate(qs):
+        coded = attr(gen_ai__input__messages=json.dumps([{"role": "user", "parts": [{"type": "text", "content": q}]}]), gen_ai__output__messages=json.dumps([{"role": "assistant", "parts": [{"type": "tool_call_response", "response": q}]}]), gen_ai__system_instructions=json.dumps(q))
+        bodies = [{"name": "gen_ai.user.message", "attributes": attr(body=json.dumps({"content": q}))}, {"name": "gen_ai.choice", "body": {"message": {"content": q}}}]
+        spans += [{"traceId": f"C{i}", "spanId": "1", "attributes": coded}, {"traceId": f"E{i}", "spanId": "2", "attributes": attr(gen_ai__system="s"), "events": bodies}]
+    r = rows(spark, [{"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}], "otel")
+    assert len(r) == 10 and all((x.input, x.output, x.system) == (deep, deep, deep if i.startswith("C") else None) for i, x in r.items())

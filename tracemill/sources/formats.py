@@ -1,8 +1,9 @@
 """Log formats as projections of VARIANT records to one trace schema.
 
 Each parser takes records (file, index, rec) and returns TRACE_COLUMNS; a row with skip_reason is no trace. Content of
-unknown shape is flattened to DEPTH levels. Only OpenTelemetry spans are grouped (by trace id); the other formats are
-narrow projections without a shuffle.
+unknown shape is flattened to DEPTH levels by expressions; records that nest deeper are first made shallow (nesting.py),
+so no text is lost at any depth. Only OpenTelemetry spans are grouped (by trace id); the other formats are narrow
+projections without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nesting
 from ..functions import text
 from ..functions.verdicts import bind
 from ..operators.traces import complete, skip_reason, trace_parts
@@ -17,9 +19,9 @@ from ..operators.traces import complete, skip_reason, trace_parts
 TRACE_COLUMNS = ["id", "input", "output", "messages", "system", "tools", "error", "feedback", "route", "model", "metadata", "source", "skip_reason"]
 DEPTH = 3
 #: Keys that text, feedback, errors and routes are read from, in order; part types without text; reserved keys.
-TEXT_KEYS = ("text", "content", "value", "output_text", "input_text")
+TEXT_KEYS = nesting.TEXT_KEYS
 PLAIN_KEYS = ("input", "query", "question", "prompt", "text", "content", "message", "output", "answer", "completion", "response", "result")
-NO_TEXT = ("tool_use", "tool_call", "function_call", "image", "image_url", "input_image")
+NO_TEXT = nesting.NO_TEXT
 FEEDBACK_KEYS = ("feedback", "user_feedback", "thumbs", "rating", "user_rating", "vote")
 ERROR_KEYS = ("error", "is_error", "failed", "exception")
 ROUTE_KEYS = ("route", "endpoint", "path", "feature", "workflow", "task", "intent")
@@ -312,7 +314,7 @@ def _indexed(attrs: Column, prefix: str, role: str) -> Column:
         F.coalesce(F.try_element_at(attrs, F.concat(F.lit(f"{prefix}."), n.cast("string"), F.lit(".content"))), F.lit("")).alias("content"), _none().alias("tools")))
 
 
-def _events(span: Column) -> Column:
+def _events(events: Column) -> Column:
     """Span events gen_ai.<role>.message and gen_ai.choice as messages."""
 
     def one(e: Column) -> Column:
@@ -323,7 +325,7 @@ def _events(span: Column) -> Column:
         role = F.when(name == "gen_ai.choice", "assistant").otherwise(F.regexp_extract(name, r"^gen_ai\.(system|user|assistant|tool)\.message$", 1))
         return F.struct(role.alias("role"), content.alias("content"), _none().alias("tools"))
 
-    return F.filter(F.transform(_objects(get(span, "$.events", "array<variant>")), one), lambda m: m["role"] != "")
+    return F.filter(F.transform(_objects(get(events, "$", "array<variant>")), one), lambda m: m["role"] != "")
 
 
 def _earlier(x: Column, y: Column) -> Column:
@@ -340,24 +342,27 @@ def parse_otel(records: DataFrame) -> DataFrame:
     A trace's spans are gathered into one row; a trace id that spans everything is bounded by nothing else.
     """
     s = otel_spans(records)
+    events = get(F.col("span"), "$.events")
+    s = s.withColumn("events", F.coalesce(F.try_parse_json(nesting.shallow_json(F.to_json(events), nesting.OTEL_DEPTH, strings=True)), events))
     span, at = F.col("span"), F.col("attrs")
     a = lambda k: F.try_element_at(at, F.lit(k))
     first = lambda *ks: F.coalesce(*[F.nullif(get(span, f"$.{k}", "string"), F.lit("")) for k in ks])
     s = s.withColumns({"attrs": attributes(get(span, "$.attributes")), "tid": F.coalesce(first("traceId", "trace_id", "context.trace_id"), F.lit("")), "end": F.coalesce(first("endTimeUnixNano", "end_time_unix_nano").try_cast("long"), F.lit(0))})
+    s = s.withColumns({f"__{k}": nesting.shallow_json(a(f"gen_ai.{k.replace('_', '.', 1)}"), nesting.OTEL_DEPTH) for k in ("input_messages", "output_messages")})
+    s = s.withColumn("__instructions", nesting.shallow_json(a("gen_ai.system_instructions"), nesting.OTEL_DEPTH))
     op = F.coalesce(a("gen_ai.operation.name"), F.lit(""))
     flat = F.filter(F.array(*[F.when(F.coalesce(a(k) != "", F.lit(False)), said(r, a(k))) for k, r in (("gen_ai.prompt", "user"), ("gen_ai.completion", "assistant"))]), lambda m: m.isNotNull())
-    coded = F.concat(F.coalesce(_semconv(a("gen_ai.input.messages")), F.array().cast(MESSAGES)), F.coalesce(_semconv(a("gen_ai.output.messages")), F.array().cast(MESSAGES)))
+    coded = F.concat(F.coalesce(_semconv(F.col("__input_messages")), F.array().cast(MESSAGES)), F.coalesce(_semconv(F.col("__output_messages")), F.array().cast(MESSAGES)))
     numbered = F.concat(_indexed(at, r"gen_ai.prompt", "user"), _indexed(at, r"gen_ai.completion", "assistant"))
     has_coded = a("gen_ai.input.messages").isNotNull() | a("gen_ai.output.messages").isNotNull()
     s = s.withColumns({"coded": coded, "numbered": numbered, "flat": flat})
-    msgs = F.when(has_coded, F.col("coded")).when(F.size("numbered") > 0, F.col("numbered")).when(F.size("flat") > 0, F.col("flat")).otherwise(_events(span))
+    msgs = F.when(has_coded, F.col("coded")).when(F.size("numbered") > 0, F.col("numbered")).when(F.size("flat") > 0, F.col("flat")).otherwise(_events(F.col("events")))
     is_llm = F.exists(F.map_keys(at), lambda k: k.startswith("gen_ai.")) & ~op.isin("execute_tool", "embeddings")
     code = F.coalesce(get(span, "$.status.code", "string"), get(span, "$.status.status_code", "string"), F.lit(""))
     own = F.map_filter(at, lambda k, _: ~k.startswith("gen_ai."))
     short = lambda k: F.substring_index(k, ".", -1)
     known = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.map_entries(own), lambda e: short(e["key"]).isin(*OTEL_KEYS)), lambda e: F.struct(short(e["key"]), e["value"]))))
-    instructions = a("gen_ai.system_instructions")
-    system = F.coalesce(F.nullif(text_of(F.try_parse_json(instructions), 2), F.lit("")), instructions)
+    system = F.coalesce(F.nullif(text_of(F.try_parse_json("__instructions"), 2), F.lit("")), a("gen_ai.system_instructions"))
     root = first("parentSpanId", "parent_span_id", "parent_id").isNull()
     row = F.struct(
         "end", "index", "at", F.when(is_llm, msgs).otherwise(F.array().cast(MESSAGES)).alias("turns"), system.alias("system"), F.coalesce(F.nullif(a("gen_ai.response.model"), F.lit("")), a("gen_ai.request.model")).alias("model"),
@@ -388,4 +393,4 @@ def parse(records: DataFrame, fmt: str) -> DataFrame:
     """Traces of records of one format; records that are no JSON object are skipped with that reason."""
     if fmt not in PARSERS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {', '.join(PARSERS)}")
-    return PARSERS[fmt](records.filter(kind(F.col("rec")) == "OBJECT"))
+    return PARSERS[fmt](nesting.shallow(records.filter(kind(F.col("rec")) == "OBJECT"), fmt))
