@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import queue
+import subprocess
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,6 +94,85 @@ def judge_rows(requests: DataFrame, judge: Callable[[str, int], str]) -> DataFra
     return requests.select("request_id", "judge", "case_id", "mode", "probe", "trial", "pad_side", "prompt").mapInPandas(run, out)
 
 
+class LineProcess:
+    """A command that answers each JSON line on its stdin by one on its stdout."""
+
+    def __init__(self, argv: list[str]):
+        self.proc = subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, encoding="utf-8", bufsize=1)
+        self.lines: queue.Queue[str | None] = queue.Queue()
+        threading.Thread(target=self._read, daemon=True).start()
+
+    def _read(self) -> None:
+        for line in self.proc.stdout:
+            self.lines.put(line)
+        self.lines.put(None)
+
+    def ask(self, request: dict, timeout: float) -> dict:
+        """TimeoutError or ValueError for one bad answer; ConnectionError when the command has ended or can no longer be trusted."""
+        try:
+            self.proc.stdin.write(json.dumps(request, ensure_ascii=False) + "\n")
+            self.proc.stdin.flush()
+            line = self.lines.get(timeout=timeout)
+        except queue.Empty:
+            raise TimeoutError(f"no response within {timeout:g}s") from None
+        except OSError as e:
+            raise ConnectionError(f"judge command exited: {e}") from e
+        if line is None:
+            raise ConnectionError(f"judge command exited with {self.proc.wait()}")
+        answer = json.loads(line)
+        if not isinstance(answer, dict):
+            raise ValueError("the answer is no JSON object")
+        return answer
+
+    def close(self) -> None:
+        self.proc.kill()
+        self.proc.wait()
+
+
+def judge_command(requests: DataFrame, argv: list[str], enable: bool = False, timeout: float = 120.0) -> DataFrame:
+    """Judgments by a command of the user's own, off unless enabled: one process a task, one JSON line a request and an answer.
+
+    An answer is {"verdict": ...}. A late answer is an error and the process is started anew, as its late line would be
+    taken for the next answer. When the command ends, that request is an error and the rest of its task's requests get no
+    judgment, so that a later run asks them again.
+    """
+    if not enable:
+        raise PermissionError("judge commands are off; pass enable=True to start the command you name")
+    keep = ["request_id", "judge", "case_id", "mode", "probe", "trial", "pad_side"]
+    out = "request_id string, judge string, case_id string, mode string, probe string, trial int, pad_side string, verdict string, error string, seconds double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process, ended = None, False
+        try:
+            for b in batches:
+                found = []
+                for text in b["request"]:
+                    if ended:
+                        break
+                    row, begun, verdict, error = json.loads(text), time.monotonic(), None, None
+                    try:
+                        process = process or LineProcess(argv)
+                        said = process.ask(row, timeout).get("verdict")
+                        verdict = None if said is None else str(said)
+                    except TimeoutError as e:
+                        error = str(e)
+                        process.close()
+                        process = None
+                    except ValueError as e:
+                        error = f"{type(e).__name__}: {e}"
+                    except OSError as e:
+                        error, ended = str(e), True
+                    found.append((*(row.get(k) for k in keep), verdict, error, time.monotonic() - begun))
+                if found:
+                    yield pd.DataFrame(found, columns=[*keep, "verdict", "error", "seconds"])
+        finally:
+            if process:
+                process.close()
+
+    shown = ("shown_output", "answer_a", "answer_b")
+    return requests.select(F.to_json(F.struct(*[c for c in requests.columns if c not in shown])).alias("request")).mapInPandas(run, out)
+
+
 def control_longer(requests: DataFrame) -> DataFrame:
     """A control judge: the longer answer wins, A on ties."""
     return requests.withColumn("verdict", F.when(F.length("answer_a") >= F.length("answer_b"), "A").otherwise("B"))

@@ -64,9 +64,24 @@ def skip_reason(inp: Column, out: Column) -> Column:
 
 
 def summary(traces: DataFrame, top: int = 20) -> DataFrame:
-    """(metric, value, count): traces, with_error, the feedback histogram, and the most frequent routes (a top-k report)."""
-    one = traces.agg(F.count(F.lit(1)).alias("traces"), F.count_if("error").alias("with_error"))
-    totals = one.select(F.expr("stack(2, 'traces', '', traces, 'with_error', '', with_error) AS (metric, value, count)"))
-    hist = lambda name, c: traces.groupBy(F.coalesce(c, F.lit("none")).alias("value")).agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("metric"), "value", "count")
-    routes = hist("route", F.col("route")).orderBy(F.desc("count"), "value").limit(top)
-    return totals.unionByName(hist("feedback", F.col("feedback"))).unionByName(routes)
+    """(metric, value, count): traces, with_error, multi_turn (of messages), the feedback histogram, the most frequent routes and tools (top-k reports).
+
+    Tables without messages or tools have no such rows.
+    """
+    users = F.size(F.filter("messages", lambda m: m["role"] == "user")) if "messages" in traces.columns else F.lit(None)
+    one = traces.agg(F.count(F.lit(1)).alias("traces"), F.count_if("error").alias("with_error"), F.count_if(users > 1).alias("multi_turn"))
+    totals = one.select(F.expr("stack(3, 'traces', '', traces, 'with_error', '', with_error, 'multi_turn', '', multi_turn) AS (metric, value, count)"))
+    if "messages" not in traces.columns:
+        totals = totals.filter("metric <> 'multi_turn'")
+    hist = lambda name, df, c: df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("metric"), "value", "count")
+    most = lambda df: df.orderBy(F.desc("count"), "value").limit(top)
+    out = totals.unionByName(hist("feedback", traces, F.coalesce("feedback", F.lit("none")))).unionByName(most(hist("route", traces, F.coalesce("route", F.lit("none")))))
+    if "tools" in traces.columns:
+        out = out.unionByName(most(hist("tool", traces.select(F.explode("tools").alias("tool")), F.col("tool"))))
+    return out
+
+
+def source_report(parsed: DataFrame) -> DataFrame:
+    """file, format, records, traces, skipped of every source file: parsed rows with source and skip_reason."""
+    skipped = F.count_if(F.col("skip_reason").isNotNull())
+    return parsed.groupBy("source.file", "source.format").agg(F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - skipped).alias("traces"), skipped.alias("skipped"))

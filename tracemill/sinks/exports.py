@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import promptfoo_prompt
@@ -65,12 +65,137 @@ def inspect_rows(cases: DataFrame) -> DataFrame:
 ROWS = {"jsonl": jsonl_rows, "promptfoo": promptfoo_tests, "deepeval": deepeval_rows, "inspect": inspect_rows}
 
 
-def write_export(cases: DataFrame, folder: str, formats: tuple[str, ...] = tuple(ROWS)) -> None:
-    """One folder of JSON lines for each format."""
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file on any path Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _name_parts(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """The part files of a folder of JSON lines under names that tools take for JSON lines."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    names = [f"{name}-{i:05d}.jsonl" for i in range(len(parts))]
+    for part, new in zip(parts, names, strict=True):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}"), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{new}"))
+    return names
+
+
+_DEEPEVAL = '''"""Runs the cases beside this file: deepeval test run test_suite.py
+
+Fill in `answer` to call the system under test; SCORE_LOGGED=1 scores the logged answers instead. With judge.json here,
+fill in `ask` so that the checked judge grades; without it, GEval grades by the model that DeepEval is set to.
+"""
+
+import json
+import os
+from pathlib import Path
+
+import pytest
+from deepeval import assert_test
+from deepeval.metrics import BaseMetric, GEval
+from deepeval.test_case import LLMTestCase, LLMTestCaseParams
+
+HERE = Path(__file__).parent
+CASES = [json.loads(line) for part in sorted(HERE.glob("cases-*.jsonl")) for line in part.read_text(encoding="utf-8").splitlines()]
+JUDGE = json.loads((HERE / "judge.json").read_text(encoding="utf-8")) if (HERE / "judge.json").exists() else None
+
+
+def answer(case):
+    if os.environ.get("SCORE_LOGGED") == "1":
+        return case["actual_output"]
+    raise NotImplementedError("call your system here")
+
+
+def ask(provider, prompt):
+    raise NotImplementedError("call the judge's model here")
+
+
+class Checked(BaseMetric):
+    threshold = 0.5
+
+    def __init__(self, case):
+        self.case = case
+
+    def measure(self, test_case):
+        more = self.case.get("additional_metadata") or {}
+        prompt = JUDGE["prompt"]
+        fields = {"input": test_case.input, "output": test_case.actual_output, "expected_behavior": self.case.get("expected_output") or "", "criteria": more.get("criteria_text") or "", "context": more.get("context_text") or ""}
+        for name, value in fields.items():
+            prompt = prompt.replace("{" + name + "}", value or "")
+        self.reason = ask(JUDGE["provider"], prompt)
+        self.score = float(JUDGE["labels"][0].lower() in self.reason.lower())
+        return self.score
+
+    async def a_measure(self, test_case, *args, **kwargs):
+        return self.measure(test_case)
+
+    def is_successful(self):
+        return self.score >= self.threshold
+
+
+@pytest.mark.parametrize("case", CASES, ids=[c["name"] for c in CASES])
+def test_case(case):
+    made = LLMTestCase(input=case["input"], actual_output=answer(case), expected_output=case.get("expected_output"), context=case.get("context"))
+    taken = [LLMTestCaseParams.INPUT, LLMTestCaseParams.ACTUAL_OUTPUT, LLMTestCaseParams.EXPECTED_OUTPUT]
+    assert_test(made, [Checked(case) if JUDGE else GEval(name="expected behavior", criteria="Does the actual output do what the expected output describes?", evaluation_params=taken)])
+'''
+
+_INSPECT = '''"""inspect eval task.py --model <provider/model>: a grader compares each answer with the case's target."""
+
+from pathlib import Path
+
+from inspect_ai import Task, task
+from inspect_ai.dataset import MemoryDataset, json_dataset
+from inspect_ai.scorer import model_graded_qa
+from inspect_ai.solver import generate
+
+
+@task
+def suite():
+    parts = sorted(Path(__file__).parent.glob("cases-*.jsonl"))
+    return Task(dataset=MemoryDataset([s for p in parts for s in json_dataset(str(p))]), solver=generate(), scorer=model_graded_qa())
+'''
+
+
+def _promptfoo_config(spark: SparkSession, parts: list[str], suite: str, grader: DataFrame | None) -> str:
+    """JSON, which every YAML reader takes, below a comment that says who grades."""
+    own = promptfoo_grader(grader).first() if grader is not None else None
+    note = f"# Graded by the checked judge {grader.first()['id']} with its own prompt; its answers must be JSON with pass and reason." if own else "# No judge has been found trustworthy: promptfoo's default grader is used."
+    config = {"description": suite, "prompts": ["{{ messages | dump }}"], "providers": ["echo"], "tests": [f"file://{p}" for p in parts]}
+    if own:
+        config["defaultTest"] = {"options": own.asDict()}
+    return f"{note}\n{json.dumps(config, indent=2, ensure_ascii=False)}\n"
+
+
+def write_export(cases: DataFrame, folder: str, formats: tuple[str, ...] = tuple(ROWS), suite: str = "suite", grader: DataFrame | None = None, judge: DataFrame | None = None) -> None:
+    """One folder for each format: JSON lines written by Spark's tasks, and the files the tool needs to run them.
+
+    grader: at most one judge with id, provider and prompt, for promptfoo; judge: at most one with labels, for DeepEval.
+    A folder is written anew, so a judge of an earlier export doesn't stay.
+    """
     if bad := set(formats) - set(ROWS):
         raise ValueError(f"unknown export format {sorted(bad)}; expected {tuple(ROWS)}")
+    spark = cases.sparkSession
+    grader, judge = (None if d is None or d.isEmpty() else d for d in (grader, judge))
     for f in formats:
-        ROWS[f](cases).write.mode("overwrite").json(f"{folder}/{f}")
+        out = f"{folder}/{f}"
+        ROWS[f](cases).write.mode("overwrite").json(out)
+        parts = _name_parts(spark, out, "cases")
+        if f == "promptfoo":
+            write_file(spark, f"{out}/promptfooconfig.yaml", _promptfoo_config(spark, parts, suite, grader))
+        elif f == "deepeval":
+            write_file(spark, f"{out}/test_suite.py", _DEEPEVAL)
+            if judge is not None:
+                j = judge.first()
+                write_file(spark, f"{out}/judge.json", json.dumps({"id": j["id"], "prompt": j["prompt"], "provider": j["provider"], "labels": j["labels"] or ["pass", "fail"]}, ensure_ascii=False, indent=2))
+        elif f == "inspect":
+            write_file(spark, f"{out}/task.py", _INSPECT)
 
 
 def manifest(df_spark, folder: str) -> DataFrame:
@@ -113,14 +238,33 @@ document.getElementById('x').onclick=()=>{{const b=new Blob([Object.entries(said
 </script></body></html>"""
 
 
+LIMITS = (
+    "Selection compares words: inputs that say the same in other words may fall into different clusters.",
+    "Redaction knows patterns (keys, tokens, emails, phone and card numbers); names, addresses and free secrets stay. Read the traces before you share them.",
+    "Expected behaviour comes from people; a case is as good as what they wrote.",
+    "Verdicts depend on thresholds, cases, trials and labels; with few of them the intervals are wide.",
+    "The probes cover the order of answers and padding, not a judge's liking for its own style or a misread rubric.",
+)
+
+
+def limits(population: dict) -> list[str]:
+    """What the numbers can't say, the run's own limits first."""
+    own = []
+    if population.get("judgments") and not population.get("labels"):
+        own.append("There are no human labels, so no judge can be called trustworthy.")
+    if population.get("failures") == 0:
+        own.append("No trace has an error or negative feedback, so failures could not be picked first.")
+    return [*own, *LIMITS]
+
+
 def report(checked: list[dict], population: dict) -> str:
-    """Markdown of a run: the population and one line for each judge."""
+    """Markdown of a run: the population, one line for each judge, the limits."""
     pct = lambda x: "n/a" if x is None else f"{100 * x:.0f}%"
     lines = ["# Report", "", *[f"- {k}: {v}" for k, v in population.items()], "", "| judge | verdict | flips | accuracy | kappa | consistent | first shown | padded |", "|---|---|---|---|---|---|---|---|"]
     for r in checked:
         k = "n/a" if r.get("kappa") is None else f"{r['kappa']:.2f}"
         lines.append(f"| {r['judge']} | {r['verdict']} | {pct(r.get('flip_rate'))} | {pct(r.get('accuracy'))} | {k} | {pct(r.get('consistency'))} | {pct(r.get('first_rate'))} | {pct(r.get('toward_padded'))} |")
-    return "\n".join([*lines, ""])
+    return "\n".join([*lines, "", "## Limits", "", *[f"- {x}" for x in limits(population)], ""])
 
 
 def card(name: str, verdict: str, meters: list[tuple[str, float, str]]) -> str:

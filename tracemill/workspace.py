@@ -59,6 +59,7 @@ class Workspace:
             files = self.spark.createDataFrame([(f,) for f, x in kinds if x == k], "file string")
             parts.append(formats.parse(raw.join(F.broadcast(files), "file", "left_semi"), k))
         parsed = stage(reduce(DataFrame.unionByName, parts), "parsed")
+        self.save("sources", traces.source_report(parsed).join(records.fingerprints(self.spark, path).withColumnRenamed("path", "file"), "file", "left"))
         self.save("skipped", parsed.filter("skip_reason IS NOT NULL").groupBy("source.file", "skip_reason").agg(F.count(F.lit(1)).alias("records")))
         # files in the order of their names, records in the order of their places
         number = {f: i for i, f in enumerate(sorted(f for f, _ in kinds))}
@@ -142,6 +143,17 @@ class Workspace:
         new.write.mode("append").parquet(f"{self.root}/judgments")
         return planning.run_log(new)
 
+    def run_command(self, judge: str, argv: list[str], enable: bool = False, timeout: float = 120.0, restart: bool = False) -> DataFrame:
+        """Asks a command for what this judge has no judgment for yet; with restart, for all anew. Returns the log."""
+        todo = self.table("requests").filter(F.col("judge") == judge)
+        if self.has("judgments") and restart:
+            self.save("judgments", self.table("judgments").filter(F.col("judge") != judge))
+        elif self.has("judgments"):
+            todo = planning.remaining(todo, self.table("judgments").filter("error IS NULL"))
+        new = stage(planning.judge_command(todo, argv, enable, timeout), "judged")
+        new.drop("seconds").write.mode("append").parquet(f"{self.root}/judgments")
+        return new.groupBy("judge").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.bround(F.sum("seconds"), 2).alias("seconds"))
+
     def check(self, th: judging.Thresholds = judging.Thresholds()) -> DataFrame:
         judged = self.table("judgments").filter("error IS NULL")
         modes = judged.select("case_id", "mode").distinct()
@@ -172,11 +184,25 @@ class Workspace:
         self.save("labels", labelling.upsert(old, checked.filter("outcome = 'imported'")))
         return checked
 
-    def export(self, folder: str, kinds: tuple[str, ...] = tuple(exports.ROWS)) -> DataFrame:
-        """Writes the ready cases in each format; refuses while validation finds problems. Returns the manifest."""
+    def export(self, folder: str, kinds: tuple[str, ...] = tuple(exports.ROWS), judge: str | None = None) -> DataFrame:
+        """Writes the ready cases in each format; refuses while validation finds problems. Returns the manifest.
+
+        The judge that grades is the first trustworthy one, or the one named, whatever its verdict.
+        """
         if problems := [f"{r.place}: {r.problem}" for r in self.validate().limit(20).collect()]:
             raise ValueError("fix the suite first: " + "; ".join(problems))
-        exports.write_export(suites.export_cases(self.table("cases"), self.rubric()[0]), folder, kinds)
+        criteria, judges = self.rubric()
+        if judge is not None:
+            named = judges.filter(F.col("id") == judge)
+            if named.isEmpty():
+                raise KeyError(f"no judge with id {judge}")
+            grader, any_provider = named.filter("coalesce(provider, '') != ''"), named
+        elif self.has("checked"):
+            checked = self.table("checked").select("judge", "verdict")
+            grader, any_provider = suites.pick_grader(judges, checked), suites.pick_grader(judges, checked, need_provider=False)
+        else:
+            grader = any_provider = None
+        exports.write_export(suites.export_cases(self.table("cases"), criteria), folder, kinds, grader=grader, judge=any_provider)
         return exports.manifest(self.spark, folder)
 
     def report(self) -> str:
