@@ -60,6 +60,13 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.summary(_docs(spark, sf_dir), top=20)
 
 
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id").cast("long")
+    tools = F.when(k % 5 == 0, F.array(F.lit("kb"), F.lit("calc"))).when(k % 3 == 0, F.array(F.lit("kb"))).otherwise(F.array().cast("array<string>"))
+    t = traces.from_turns(run_sql(spark, sf_dir, adapters.TURNS))
+    return traces.summary(t.withColumns({"error": k % 6 == 0, "feedback": F.when(k % 4 == 0, "negative"), "route": F.concat(F.lit("/r"), (k % 3).cast("string")), "tools": tools}))
+
+
 def dup_id_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = run_sql(spark, sf_dir, "SELECT CAST(user_id AS STRING) AS id, event_id AS pos FROM @events@")
     return traces.unique_ids(df).select("pos", "id")
@@ -120,7 +127,7 @@ def select_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(picks, "id string, cluster long, failure boolean, reasons array<string>")
 
 
-QUERIES = {f.__name__: f for f in (text_keys, exact_dedupe, dedupe_members, failure_flags, feedback_norm, trace_build, ingest_summary, dup_id_suffix, skip_accounting, strata_histogram, failure_budget, failure_round_robin, cluster_shares, quota_remainder, redact_counts, redact_text, luhn_cards, near_dup_groups, topic_clusters, select_picks)}
+QUERIES = {f.__name__: f for f in (text_keys, exact_dedupe, dedupe_members, failure_flags, feedback_norm, trace_build, ingest_summary, ingest_report, dup_id_suffix, skip_accounting, strata_histogram, failure_budget, failure_round_robin, cluster_shares, quota_remainder, redact_counts, redact_text, luhn_cards, near_dup_groups, topic_clusters, select_picks)}
 
 # ---- DuckDB --------------------------------------------------------------------------------------------------------
 
@@ -147,6 +154,10 @@ ORACLE = {
     "ingest_summary": f"""WITH {_T}, r AS (SELECT coalesce(route, 'none') AS value, count(*) AS count FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
   SELECT 'traces' AS metric, '' AS value, count(*) AS count FROM t UNION ALL SELECT 'with_error', '', count(*) FILTER (error) FROM t
   UNION ALL SELECT 'feedback', coalesce(feedback, 'none'), count(*) FROM t GROUP BY 2 UNION ALL SELECT 'route', value, count FROM r""",
+    "ingest_report": f"""WITH r AS ({duck(adapters.TURNS)}), t AS (SELECT id, id::BIGINT AS k, count(*) FILTER (role = 'user') AS nu FROM r GROUP BY id)
+  SELECT 'traces' AS metric, '' AS value, count(*) AS count FROM t UNION ALL SELECT 'with_error', '', count(*) FILTER (k % 6 = 0) FROM t UNION ALL SELECT 'multi_turn', '', count(*) FILTER (nu > 1) FROM t
+  UNION ALL SELECT 'feedback', CASE WHEN k % 4 = 0 THEN 'negative' ELSE 'none' END, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'route', '/r' || k % 3, count(*) FROM t GROUP BY 2
+  UNION ALL SELECT 'tool', 'kb', count(*) FROM t WHERE k % 5 = 0 OR k % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'tool', 'calc', count(*) FROM t WHERE k % 5 = 0 HAVING count(*) > 0""",
     "dup_id_suffix": "SELECT event_id AS pos, CASE WHEN n > 1 THEN id || '~' || n ELSE id END AS id FROM (SELECT event_id, user_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)",
     "skip_accounting": """WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN ' ' ELSE coalesce(text, '') END AS input, CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'x' END AS output FROM documents)
   SELECT source, CASE WHEN trim(output) = '' THEN 'empty input and output' ELSE 'no user message' END AS reason, count(*) AS skipped FROM d WHERE trim(input, ' ' || chr(9) || chr(10) || chr(13)) = '' GROUP BY ALL""",
