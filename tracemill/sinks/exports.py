@@ -76,7 +76,7 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _name_parts(spark: SparkSession, folder: str, name: str) -> list[str]:
-    """The part files of a folder of JSON lines under names that tools take for JSON lines."""
+    """The part files of a folder of JSON lines under names that promptfoo takes for JSON lines."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
@@ -102,7 +102,7 @@ from deepeval.metrics import BaseMetric, GEval
 from deepeval.test_case import LLMTestCase, LLMTestCaseParams
 
 HERE = Path(__file__).parent
-CASES = [json.loads(line) for part in sorted(HERE.glob("cases-*.jsonl")) for line in part.read_text(encoding="utf-8").splitlines()]
+CASES = [json.loads(line) for part in sorted(HERE.glob("part-*.json")) for line in part.read_text(encoding="utf-8").splitlines()]
 JUDGE = json.loads((HERE / "judge.json").read_text(encoding="utf-8")) if (HERE / "judge.json").exists() else None
 
 
@@ -148,18 +148,20 @@ def test_case(case):
 
 _INSPECT = '''"""inspect eval task.py --model <provider/model>: a grader compares each answer with the case's target."""
 
+import json
 from pathlib import Path
 
 from inspect_ai import Task, task
-from inspect_ai.dataset import MemoryDataset, json_dataset
+from inspect_ai.dataset import MemoryDataset, Sample
 from inspect_ai.scorer import model_graded_qa
 from inspect_ai.solver import generate
 
 
 @task
 def suite():
-    parts = sorted(Path(__file__).parent.glob("cases-*.jsonl"))
-    return Task(dataset=MemoryDataset([s for p in parts for s in json_dataset(str(p))]), solver=generate(), scorer=model_graded_qa())
+    parts = sorted(Path(__file__).parent.glob("part-*.json"))
+    rows = [json.loads(line) for p in parts for line in p.read_text(encoding="utf-8").splitlines()]
+    return Task(dataset=MemoryDataset([Sample(**r) for r in rows]), solver=generate(), scorer=model_graded_qa())
 '''
 
 
@@ -186,9 +188,8 @@ def write_export(cases: DataFrame, folder: str, formats: tuple[str, ...] = tuple
     for f in formats:
         out = f"{folder}/{f}"
         ROWS[f](cases).write.mode("overwrite").json(out)
-        parts = _name_parts(spark, out, "cases")
         if f == "promptfoo":
-            write_file(spark, f"{out}/promptfooconfig.yaml", _promptfoo_config(spark, parts, suite, grader))
+            write_file(spark, f"{out}/promptfooconfig.yaml", _promptfoo_config(spark, _name_parts(spark, out, "cases"), suite, grader))
         elif f == "deepeval":
             write_file(spark, f"{out}/test_suite.py", _DEEPEVAL)
             if judge is not None:
