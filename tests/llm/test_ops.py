@@ -228,6 +228,51 @@ def test_minhash_big_buckets_are_split(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()} == want
 
 
+def test_minhash_one_shared_bucket_is_enough(spark, monkeypatch):
+    """A link of similarity 0.8 whose two sets share one band only, that of a big bucket of unlike sets."""
+    names = [f"w{i}" for i in range(20_000)]
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(w) + 1 for w in names])])
+    offsets[-1] -= 1
+    shingles = minhash.Shingles(1)
+    low = (minhash.mix(shingles(data, offsets)[0]) >> np.uint64(32)).astype(np.uint32)
+    least = [int(np.argmin((low ^ x) * m)) for x, m in zip(minhash._XOR, minhash._MULT, strict=True)]
+    first = least[: minhash.ROWS]  # in all sets: these have band 0 in common
+    own = least[minhash.ROWS :: minhash.ROWS]  # the least word of each other band, in one of the two sets only
+    free = [i for i in np.random.default_rng(15).permutation(len(names)).tolist() if i not in least]
+    common, free = first + free[:156], free[156:]
+    a, b = (half + free[20 * i : 20 * i + 20 - len(half)] for i, half in enumerate((own[::2], own[1::2])))
+    sets = [common + a, common + b] + [first + free[100 + 40 * i : 140 + 40 * i] for i in range(12)]
+    texts = [" ".join(names[i] for i in x) for x in sets]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    said = rows.mapInArrow(minhash._signatures(1), "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch array<long>").orderBy("doc_id").collect()
+    assert sum(x == y for x, y in zip(said[0].bands, said[1].bands, strict=True)) == 1
+    assert min(said, key=lambda r: bytes(r.key)).doc_id > 1  # neither is the bucket's head
+    for big in (2_000, 3):
+        monkeypatch.setattr(minhash, "BIG", big)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, 1).collect()}
+        assert got == {i: 0 if i < 2 else i for i in range(14)}
+
+
+def test_minhash_blocks_of_a_bucket(spark, monkeypatch):
+    """Sets of 80 common words and a few more, in a bucket of many blocks of both sides: as brute force has it."""
+    rng = np.random.default_rng(16)
+    sets = [list(range(80)) + (1000 * (i % 9) + rng.choice(np.arange(100, 135), 21, replace=False)).tolist() for i in range(90)]
+    texts = words_of_sets(rng, *sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BIG", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()}
+    assert [got[i] for i in range(90)] == brute_components(texts, 1)
+
+
+def test_common_sizes_of_frequent_and_rare_shingles():
+    rng = np.random.default_rng(17)
+    x, y = ([set(rng.choice(30, 12, replace=False)) | set(rng.choice(np.arange(30, 3000), 60).tolist()) for _ in range(n)] for n in (40, 50))
+    flat = [(np.repeat(np.arange(len(s)), [len(v) for v in s]), np.concatenate([sorted(v) for v in s])) for s in (x, y)]
+    assert (minhash._common(*flat, 40, 50) == [[len(p & q) for q in y] for p in x]).all()
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------------
 
 

@@ -10,11 +10,12 @@ counts, rule the similarity out (most_bits()) are put aside; the rest are confir
 
 No pair is made within what is linked already. Three rounds: each class with the bucket head it differs least from;
 the other heads of its buckets, where still in other components; then, in the buckets that still span components, the
-members outside the bucket's largest component with all others (again the least different first), where a bucket of more than BIG members is first
-split by a second shared band. After each round the links are merged by components().
+members outside the bucket's largest component with all others: by sketches, the least different first, in buckets of up
+to BIG members; in larger ones all of them on the full sets, a block of the ones against a block of the others at a time,
+which needs no row for each pair. After each round the links are merged by components(). No bucket is cut or split.
 
-What a link of similarity 0.8 can be lost by, falling quickly above: no shared band, (1 - 0.8^4)^28 = 4e-7; only one,
-where that is of a big bucket, 8e-6; more bits differ than most_bits() allows for, 3 times 1e-6.
+What a link of similarity 0.8 can be lost by, falling quickly above: no shared band, (1 - 0.8^4)^28 = 4e-7; more bits
+differ than most_bits() allows for, 3 times 1e-6, but not where the two share a bucket that is compared in blocks.
 
 Defined cases: texts without a word (null, empty, blank) have the empty set and no link; with fewer words than a
 shingle the whole sequence is the one shingle; rows that repeat are in one class; a group's component_id is its least
@@ -38,8 +39,9 @@ SKETCH_BITS, DENSE = 2048, 4096
 FINE, COARSE = 1 << 16, 1 << 12
 #: Standard deviations that a count may be above its mean: all but 1e-6 of a normal one.
 DEVIATIONS = 4.76
-#: Members of a bucket beyond which it is split by a second band.
+#: Members of a bucket beyond which it is compared in blocks, and the members and shingles of a block, about.
 BIG = 2_000
+BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
@@ -129,6 +131,72 @@ def _sets(k: int):
     return run
 
 
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
+    """n x m sizes of the intersections of two lists of sets, each as (set, shingle) places of the shingles, numbered from 0."""
+    (xs, xg), (ys, yg) = x, y
+    width = max(int(xg.max(initial=-1)), int(yg.max(initial=-1))) + 1
+    nx, ny = np.bincount(xg, minlength=width), np.bincount(yg, minlength=width)
+    out = np.zeros(n * m, np.int64)
+    # a shingle of many pairs costs less as a column of a matrix product, which takes all n * m of them at once
+    often = nx * ny > n * m // 128
+    for some in np.array_split(np.flatnonzero(often), max(1, -(-int(often.sum()) // 4096))):
+        place = np.full(width, -1)
+        place[some] = np.arange(len(some))
+        a, b = np.zeros((n, len(some)), np.float32), np.zeros((m, len(some)), np.float32)
+        for full, sets, grams in ((a, xs, xg), (b, ys, yg)):
+            at = place[grams]
+            full[sets[at >= 0], at[at >= 0]] = 1
+        out += (a @ b.T).astype(np.int64).ravel()
+    rare = ~often[xg] & (ny[xg] > 0)
+    xs, xg = xs[rare], xg[rare]
+    order = np.argsort(yg, kind="stable")
+    ys, first = ys[order], np.searchsorted(yg[order], np.arange(width))
+    ends = np.cumsum(ny[xg])
+    at = 0
+    while at < len(xg):  # about a million pairs at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        k = ny[xg[at:to]]
+        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        pairs = np.repeat(xs[at:to] * m, k) + ys[np.repeat(first[xg[at:to]], k) + inner]
+        out += np.bincount(pairs, minlength=n * m)
+        at = to
+    return out.reshape(n, m)
+
+
+def _block_links(percent: int):
+    """Of a group of (left, key, comp, set): (u, v) that link what is linked between left and other rows of unlike comp, one less than those."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table["left"].to_numpy()
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        comp = table["comp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sets = table["set"].combine_chunks()
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        grams = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        of = np.repeat(np.arange(len(n)), n)
+        side = np.empty(len(n), np.int64)
+        side[a], side[b] = np.arange(len(a)), np.arange(len(b))
+        mine = left[of]
+        common = _common((side[of[mine]], grams[mine]), (side[of[~mine]], grams[~mine]), len(a), len(b))
+        linked = (common * 100 >= (n[a][:, None] + n[b][None, :] - common) * percent) & (comp[a][:, None] != comp[b][None, :])
+        # the least row that each row reaches, by rounds of both sides
+        least_a, least_b = np.arange(len(a)), np.arange(len(b)) + len(a)
+        big = len(n)
+        while True:
+            to_a = np.minimum(least_a, np.where(linked, least_b[None, :], big).min(1, initial=big))
+            to_b = np.minimum(least_b, np.where(linked, to_a[:, None], big).min(0, initial=big))
+            if (to_a == least_a).all() and (to_b == least_b).all():
+                break
+            least_a, least_b = to_a, to_b
+        at, least = np.concatenate([a, b]), np.concatenate([least_a, least_b])
+        moved = np.flatnonzero(least != np.arange(len(n)))
+        keys = table["key"].combine_chunks()
+        return pa.Table.from_arrays([keys.take(pa.array(at[moved])), keys.take(pa.array(at[least[moved]]))], schema=schema)
+
+    return run
+
+
 def _xor_bits(a: str, b: str):
     parts = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(SKETCH_BITS // 64)]
     return sum(parts[1:], parts[0])
@@ -183,10 +251,22 @@ def _possible(percent: int):
 
 
 def _spanning(placed: DataFrame) -> DataFrame:
-    """(band, key, comp, main, t) of the buckets that span components: the largest component of a bucket, and its members."""
+    """(band, key, comp, main, t, o) of the buckets that span components: the largest component of a bucket, its members and those outside that."""
     sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    spans = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"))
-    return placed.join(spans.filter("k > 1").drop("k"), "band").select("band", "key", "comp", "main", "t")
+    spans = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"), (F.sum("c") - F.max("c")).alias("o"))
+    return placed.join(spans.filter("k > 1").drop("k"), "band").select("band", "key", "comp", "main", "t", "o")
+
+
+def _blocks(big: DataFrame, info: DataFrame) -> DataFrame:
+    """(band, i, j, left, key, comp): the members outside a bucket's largest component (left) in blocks i, all of them in blocks j; each i with each j."""
+    outside = F.col("comp") != F.col("main")
+    big = big.join(info.select("key", "n"), "key")
+    weights = big.groupBy("band").agg(F.sum("n").alias("w"), F.sum(F.when(outside, F.col("n")).otherwise(F.lit(0))).alias("wo"))
+    number = lambda members, shingles: F.ceil(F.greatest(F.col(members) / BLOCK_SETS, F.col(shingles) / BLOCK_SHINGLES)).cast("long")
+    big = big.join(weights, "band").withColumn("ni", number("o", "wo")).withColumn("nj", number("t", "w")).withColumn("h", F.xxhash64("key", "band"))
+    upto = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
+    left = big.filter(outside).select("band", F.pmod("h", "ni").alias("i"), upto("nj").alias("j"), F.lit(True).alias("left"), "key", "comp")
+    return left.unionByName(big.select("band", upto("ni").alias("i"), F.pmod("h", "nj").alias("j"), F.lit(False).alias("left"), "key", "comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -247,20 +327,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         labels = stage_table(components(links), "near-labels")
 
     # round 3: buckets that still span components, members outside the largest with all others
-    placed = _spanning(label(bucketed, "key", "comp").select("band", "key", "comp"))
-    big = stage_table(placed.filter(F.col("t") > BIG).select("band", "key", "comp"), "near-big")
-    if not big.isEmpty():
-        second = bucketed.select("key", F.col("band").alias("__b"))
-        split = big.join(second, "key").filter("band != __b").select(F.xxhash64("band", "__b").alias("band"), "key", "comp")
-        placed = placed.filter(F.col("t") <= BIG).unionByName(_spanning(split))
-    placed = stage_table(placed.select("band", "key", "comp", "main"), "near-spans")
-    carried = info.select("key", "n", "most", "sketch").join(placed.groupBy("key").agg(F.collect_list("band").alias("bands")), "key")
-    placed = stage_table(placed.join(carried, "key"), "near-spans")
-    left = placed.filter("comp != main").select("band", F.col("key").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("na"), F.col("most").alias("la"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
-    right = placed.select(F.col("band").alias("__b"), F.col("key").alias("v"), F.col("comp").alias("cv"), F.col("main").alias("mv"), F.col("n").alias("nb"), F.col("most").alias("lb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+    placed = stage_table(_spanning(label(bucketed, "key", "comp").select("band", "key", "comp")), "near-spans")
+    blocks = _blocks(placed.filter(F.col("t") > BIG), info).join(sets, "key")
+    blocks = blocks.groupBy("band", "i", "j").applyInArrow(_block_links(percent), "u binary, v binary")
+    in_blocks = stage_table(blocks.distinct(), "near-links")
+    small = F.col("t") <= BIG
+    of_key = placed.groupBy("key").agg(F.collect_list(F.when(small, F.col("band"))).alias("bands"), F.collect_list(F.when(~small, F.col("band"))).alias("wide"))
+    carried = info.select("key", "n", "most", "sketch").join(of_key, "key")
+    placed = stage_table(placed.filter(small).join(carried, "key"), "near-spans")
+    left = placed.filter("comp != main").select("band", F.col("key").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("na"), F.col("most").alias("la"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), F.col("wide").alias("wa"))
+    right = placed.select(F.col("band").alias("__b"), F.col("key").alias("v"), F.col("comp").alias("cv"), F.col("main").alias("mv"), F.col("n").alias("nb"), F.col("most").alias("lb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("wide").alias("wb"))
     once = (F.col("cv") == F.col("mv")) | (F.col("u") < F.col("v"))
-    cross = left.join(right, (F.col("band") == F.col("__b")) & (F.col("cu") != F.col("cv")) & once & _possible(percent) & F.forall(F.array("band"), lambda b: b == F.array_min(F.array_intersect("ba", "bb"))))
-    # of the buckets that a pair shares, the least one has it
+    cross = left.join(right, (F.col("band") == F.col("__b")) & (F.col("cu") != F.col("cv")) & once & _possible(percent) & F.forall(F.array("band"), lambda b: (b == F.array_min(F.array_intersect("ba", "bb"))) & ~F.arrays_overlap("wa", "wb")))
+    # of the buckets that a pair shares, the least one has it, unless a big one has compared it
     cross = cross.select("u", "v", _xor_bits("sa", "sb").alias("x"))
     tried = starred.select("u", "v")
     cross = cross.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
@@ -268,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # first the one that differs least from each, as most of the others then are in one component
     best = cross.groupBy("u").agg(F.min_by("v", F.struct("x", "v")).alias("v"))
     for step in range(2):
-        last = stage_table(with_sets(best), "near-links")
+        last = stage_table(with_sets(best).union(in_blocks) if step == 0 else with_sets(best), "near-links")
         if not last.isEmpty():
             links = links.union(last)
             labels = stage_table(components(links), "near-labels")
