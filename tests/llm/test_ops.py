@@ -273,6 +273,24 @@ def test_common_sizes_of_frequent_and_rare_shingles():
     assert (minhash._common(*flat, 40, 50) == [[len(p & q) for q in y] for p in x]).all()
 
 
+def test_minhash_alike_but_unlinked_sets_make_no_row_for_each_pair(spark, monkeypatch):
+    """300 sets of similarity 0.786 to all others, which sketches can't tell from links, and 5 links."""
+    rng, staged, write = np.random.default_rng(18), Counter(), minhash.stage_table
+    sets = [list(range(88)) + list(range(1000 + 12 * i, 1012 + 12 * i)) for i in range(300)]
+    texts = words_of_sets(rng, *sets, *[x[1:] for x in sets[:5]])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def counted(rows, name, by=None):
+        out = write(rows, name, by)
+        staged[name] = max(staged[name], out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stage_table", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i in range(305)}
+    assert staged["near-cross"] < 10 * 305 and staged["near-spans"] < 28 * 305 + 1
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------------
 
 

@@ -40,7 +40,7 @@ FINE, COARSE = 1 << 16, 1 << 12
 #: Standard deviations that a count may be above its mean: all but 1e-6 of a normal one.
 DEVIATIONS = 4.76
 #: Members of a bucket beyond which it is compared in blocks, and the members and shingles of a block, about.
-BIG = 2_000
+BIG = 100
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240229)
