@@ -291,6 +291,42 @@ def test_minhash_alike_but_unlinked_sets_make_no_row_for_each_pair(spark, monkey
     assert staged["near-cross"] < 10 * 305 and staged["near-spans"] < 28 * 305 + 1
 
 
+def test_minhash_rows_of_blocks_do_not_grow_with_the_square(spark, monkeypatch):
+    """Sets alike but unlinked by words of their own need no comparison; near copies of one text are compared once, not in each of their buckets."""
+    made, blocks = [], minhash._blocks
+
+    def counted(*a):
+        out = blocks(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_blocks", counted)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 20)
+    rng = np.random.default_rng(19)
+    for m in (150, 300):
+        sets = [list(range(88)) + list(range(1000 + 12 * i, 1012 + 12 * i)) for i in range(m)]
+        texts = words_of_sets(rng, *sets, *[x[1:] for x in sets[:5]])
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()}
+        assert got == {i: i if i < m else i - m for i in range(m + 5)}
+        assert made.pop() < m
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 1_024)
+    edits = [int(x) for x in rng.integers(1, 9, 250)] + [int(x) for x in rng.integers(11, 15, 50)]
+    sets = [rng.choice(100, 100 - e, replace=False).tolist() + rng.choice(np.arange(100, 160), e, replace=False).tolist() for e in edits]
+    texts = words_of_sets(rng, *sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 1).collect()}
+    has = np.zeros((300, 160), np.int64)
+    for i, x in enumerate(sets):
+        has[i, x] = 1
+    common = has @ has.T
+    linked, least = common * 100 >= (200 - common) * 80, np.arange(300)
+    for _ in range(300):
+        least = np.where(linked, least[None, :], 300).min(1)
+    assert [got[i] for i in range(300)] == least.tolist() and len(set(got.values())) > 1
+    assert 0 < made.pop() < 3 * 300
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------------
 
 
