@@ -172,6 +172,21 @@ def test_keep_one_of_each_group(docs):
     assert got[3] and got[4] and got[5] and got[201] == 2
 
 
+def test_keep_one_moves_texts_only_past_the_bound(spark, monkeypatch):
+    """Where Spark by itself broadcasts nothing, as with large tables; past the bound texts are joined by sorting, with the same rows."""
+    df = spark.createDataFrame([(i, sentence(600 + i // 2, 80) + " end" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bound, moved in ((minhash.BROADCAST_IDS, False), (0, True)):
+            monkeypatch.setattr(minhash, "BROADCAST_IDS", bound)
+            out = minhash.keep_one(df)
+            assert ("hashpartitioning" in out._jdf.queryExecution().executedPlan().toString()) == moved
+            assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_low_similarity_is_refused(docs):
     with pytest.raises(ValueError):
         minhash.near_duplicates(docs, percent=50)

@@ -380,6 +380,11 @@ def _blocks(big: DataFrame, sets: DataFrame) -> DataFrame:
     return big.join(sets, "key").select("band", F.explode(both).alias("at"), "key", "comp", "set").select("band", "at.i", "at.j", "at.left", "key", "comp", "set")
 
 
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """df, of `most` rows at most, to be broadcast where that is few enough: the other side of its join needn't move then."""
+    return F.broadcast(df) if most <= BROADCAST_IDS else df
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, key, component (a key), component_id, kept for every row; links have 100 * intersection >= percent * union.
 
@@ -401,15 +406,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     # the full sets of those classes, from the text of one row each
     ids = info.select(F.col("id").alias("doc_id")).distinct()
-    n_ids = ids.count()
-    chosen = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    chosen = docs.join(_sent(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = chosen.select("text").mapInArrow(_sets(shingle_words), "key binary, set array<long>")
     sets = stage_table(sets, "near-sets")
     if sets.count() > info.count():  # a doc_id that several rows share
         sets = stage_table(sets.dropDuplicates(["key"]), "near-sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("key").alias("u"), F.col("set").alias("x")), sets.select(F.col("key").alias("v"), F.col("set").alias("y"))
+        some, most = sets, 2 * pairs.count()
+        if most <= BROADCAST_IDS:  # only the sets of these pairs move
+            some = sets.join(_sent(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), most), "key", "left_semi")
+        a, b = some.select(F.col("key").alias("u"), F.col("set").alias("x")), some.select(F.col("key").alias("v"), F.col("set").alias("y"))
         full = pairs.join(a, "u").join(b, "v")
         common = F.size(F.array_intersect("x", "y"))
         return full.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("u", "v").distinct()
@@ -422,7 +429,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     starred = stage_table(heads_of.filter(_possible(percent)).select("u", "v", "x"), "near-stars")
 
     # round 1: the head that differs least
-    best = starred.groupBy("u").agg(F.min_by("v", F.struct("x", "v")).alias("v"))
+    best = stage_table(starred.groupBy("u").agg(F.min_by("v", F.struct("x", "v")).alias("v")), "near-pairs")
     links = stage_table(with_sets(best), "near-links")
     labels = stage_table(components(links), "near-labels")
 
@@ -432,7 +439,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     # round 2: the other heads, across components
     rest = label(label(starred.select("u", "v").join(best, ["u", "v"], "left_anti"), "u", "lu"), "v", "lv").filter("lu != lv").select("u", "v")
-    more = stage_table(with_sets(rest), "near-links")
+    more = stage_table(with_sets(stage_table(rest, "near-pairs")), "near-links")
     if more.count():
         links = links.union(more)
         labels = stage_table(components(links), "near-labels")
@@ -459,7 +466,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     cross = cross.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
     cross = stage_table(cross, "near-cross")
     # first the one that differs least from each, as most of the others then are in one component
-    best = cross.groupBy("u").agg(F.min_by("v", F.struct("x", "v")).alias("v"))
+    best = stage_table(cross.groupBy("u").agg(F.min_by("v", F.struct("x", "v")).alias("v")), "near-pairs")
     for step in range(2):
         last = stage_table(with_sets(best).union(in_blocks) if step == 0 else with_sets(best), "near-links")
         if not last.isEmpty():
@@ -467,7 +474,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             labels = stage_table(components(links), "near-labels")
         if step == 0:
             left_over = cross.select("u", "v").join(best, ["u", "v"], "left_anti")
-            best = label(label(left_over, "u", "lu"), "v", "lv").filter("lu != lv").select("u", "v")
+            best = stage_table(label(label(left_over, "u", "lu"), "v", "lv").filter("lu != lv").select("u", "v"), "near-pairs")
 
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
     classes = label(classes, "key", "comp")
@@ -482,19 +489,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the least doc_id (null last), then the least text hash.
 
-    Rows without words are linked with nothing and stay. Of rows with the same doc_id and text one stays.
+    Rows without words are linked with nothing and stay. Of rows with the same doc_id and text one stays. Texts move only
+    where more than BROADCAST_IDS rows go, or repeat.
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle_words).filter("n_shingles > 0")
     found = stage_table(found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "near-found")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     first = found.groupBy("component").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__k")).filter("__k > 1")
     gone = found.join(first, "component").filter(order != F.col("__first")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
+    gone = stage_table(gone, "near-gone")
     t = F.xxhash64(F.col("text").cast("string"))
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]) & (t == gone["__t"]), "left_anti")
+    stay = docs.join(_sent(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["__d"]) & (t == gone["__t"]), "left_anti")
     again = found.filter("n > 1").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
-    if again.isEmpty():
+    n_again = again.count()
+    if not n_again:
         return stay
-    rows = stay.join(again, stay["doc_id"].eqNullSafe(again["__d"]) & (t == again["__t"]), "left")
+    rows = stay.join(_sent(again, n_again), stay["doc_id"].eqNullSafe(again["__d"]) & (t == again["__t"]), "left")
     once = rows.filter("__t IS NOT NULL").dropDuplicates(["__d", "__t"])
     return rows.filter("__t IS NULL").select(*docs.columns).unionByName(once.select(*docs.columns))
 
