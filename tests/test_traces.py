@@ -89,6 +89,21 @@ def test_near_duplicates_have_full_recall(spark):
     assert (n * n).sum() == sum(x * x for x in grams[0].values()) and np.isin(h, g).sum() == len(grams[0].keys() & grams[31].keys())
 
 
+def test_near_duplicate_links_of_connected_blocks_are_not_sought_again(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(dedupe, "PIVOTS", 10, raising=False)
+    texts = ["river stone " * 40 + " ".join(f"w{i}x{j * j + i}" for j in range(9)) for i in range(80)] + [f"other{i} thing{i * i}" for i in range(40)]
+    grams = [dedupe.char_grams(t) for t in texts]
+    want = list(range(120))
+    for i, j in [(i, j) for i in range(120) for j in range(i) if dedupe.cosine(grams[i], grams[j]) >= 0.9] * 3:
+        want[i] = want[j] = min(want[i], want[j])
+    df = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "key string, text string")
+    links = dedupe.near_duplicate_links(df, 0.9).collect()
+    label = {r.node: r.label for r in components.connected_components(spark.createDataFrame([(r.u, r.v) for r in links], "u string, v string")).collect()}
+    assert [int(label.get(f"{i:03}", i)) for i in range(120)] == want and len(set(want[:80])) == 1
+    assert len(links) <= 3 * len(texts)  # a forest for each pair of blocks has several times that
+
+
 def test_char_grams_of_short_words():
     assert dedupe.char_grams("a") == {" a ": 1} and set(dedupe.char_grams("ab")) == {" ab", "ab ", " ab "}
     assert dedupe.char_grams("") == {}
