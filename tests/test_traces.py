@@ -45,6 +45,16 @@ def test_redaction_against_python(spark):
         assert got[i] == (want, None if t is None else want) and counts.get(i, {}) == n
 
 
+def test_redaction_writes_texts_anew_only_where_a_pattern_is_found(spark):
+    texts = [SECRETS, "no secret", "sk-short", "A@b", "a_live_b", "-----BEGIN RSA PRIVATE KEY-----x-----END RSA PRIVATE KEY-----", "BEARER " + "a" * 20, "gho_" + "a" * 36, "xoxb-" + "1" * 10]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    column = redact.redact(F.col("text"))
+    got = {r.id: (r.s["text"], {c.kind: c.n for c in r.s["counts"] if c.n}) for r in df.select("id", column.alias("s")).collect()}
+    assert all(got[i] == python_redact(t) for i, t in enumerate(texts))
+    assert str(column).lower().count("regexp_like") == len(redact.PATTERNS) - 1  # counts and new texts are behind a search
+    assert set(redact.PARTS) <= {k for k, _ in redact.PATTERNS}
+
+
 def test_feedback(spark):
     cases = [("Thumbs up", "positive"), ("-1", "negative"), ("3", "neutral"), ("4.5", "positive"), ("0.4", "negative"), ("9", None), ("nan", None), ("?", None), ("meh", "neutral"), (None, None)]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
