@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import numpy as np
@@ -150,6 +151,27 @@ def test_fill_takes_the_least_similar(spark):
     assert got == set(want) and len(got & {"t3", "t4"}) == 1  # near-alike outliers aren't both variety
 
 
+def test_selection_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        read.add(1)
+        return t
+
+    assert len(selection.select_traces(population(spark, 12).withColumn("text", counted("text")), 5)) == 5 and read.value == 12
+
+
+def test_terms_at_the_cut_are_the_first_by_name(spark):
+    words = [f"term{c}" for c in "zyxwvutsrqponmlkjihgfedcba"]
+    df = spark.createDataFrame([(i, f"common {w}") for i, w in enumerate(words)], "id int, text string").repartition(4)
+    rows, terms = selection.tfidf(df, max_features=3)
+    assert terms == ["common", "common terma", "common termb"]
+    got = {r.id: r.features for r in rows.collect()}
+    common, rare = math.log(27 / 27) + 1, math.log(27 / 2) + 1
+    assert np.allclose(got[25].toArray(), np.array([common, rare, 0]) / math.hypot(common, rare)) and got[0].toArray().tolist() == [1, 0, 0]
+
+
 def test_topic_clusters(spark):
     df, terms = selection.topic_clusters(population(spark).drop("cluster", "dist"), 4, clusters=4, restarts=2)
     rows = df.collect()
