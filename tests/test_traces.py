@@ -180,6 +180,19 @@ def test_topic_clusters(spark):
     assert selection.topic_clusters(blank, 3)[0].first().cluster == 0
 
 
+def test_topic_vectors_of_one_file_are_dealt_to_all_cores(spark, monkeypatch):
+    parts = []
+
+    class Seen(selection.KMeans):
+        def fit(self, df):
+            parts.append(df.select("features").rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(selection, "KMeans", Seen)
+    selection.topic_clusters(population(spark, 40).select("id", "text").coalesce(1), 3, clusters=2, restarts=1)[0].count()
+    assert parts[0] > 1
+
+
 def test_registered_topic_clusters_takes_the_best_of_ten(spark, monkeypatch):
     seeds = []
 
